@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import lru_cache
 
 #: Latin letters, all of which are in Unicode's class L.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -27,7 +28,7 @@ class Encoder:
     ``remember`` bounds the pieces kept in memory, whatever the size of the corpus.
     """
 
-    def __init__(self, vocabulary: str, remember: int = 900_000, piece_chars: int = 48):
+    def __init__(self, vocabulary: str, remember: int = 600_000, piece_chars: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -99,3 +100,9 @@ class Encoder:
                 else:
                     out.append(b"".join([look(c) if i is None else i for c, i in zip(chunks, ids)]))
         return out
+
+
+@lru_cache(maxsize=1)
+def encoder_for(vocabulary: str) -> Encoder:
+    """The worker process's own encoder: what one task learned serves the next."""
+    return Encoder(vocabulary)

@@ -171,11 +171,11 @@ def pack_documents(df: DataFrame, vocabulary: str, end_id: int, capacity: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
-        from .encoding import Encoder
+        from .encoding import encoder_for
 
         gc.disable()
         part, _ = task_label()
-        encoder, end = Encoder(vocabulary), end_id.to_bytes(4, "little")
+        encoder, end = encoder_for(vocabulary), end_id.to_bytes(4, "little")
         seen: dict[int, int] = {}
         names = [f.split()[0] for f in fields.split(", ")]
         for batch in batches:

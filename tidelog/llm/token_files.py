@@ -136,11 +136,11 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, kind: str = "
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
 
-        from .encoding import Encoder
+        from .encoding import encoder_for
 
         gc.disable()
         shard, attempt = task_label()
-        encoder, end = Encoder(vocabulary), end_id.to_bytes(4, "little")
+        encoder, end = encoder_for(vocabulary), end_id.to_bytes(4, "little")
 
         def documents(first):
             while first is not None:
