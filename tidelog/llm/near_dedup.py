@@ -20,6 +20,7 @@ is joined in the first round.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +63,17 @@ class Shingler:
         return np.unique(out)
 
 
+@lru_cache(maxsize=2)
+def shingler_for(size: int) -> Shingler:
+    """The worker process's own: words that one task hashed serve the next."""
+    return Shingler(size)
+
+
+@lru_cache(maxsize=1)
+def circulant() -> Circulant:
+    return Circulant()
+
+
 def mixed(x):
     """A bijection of 64-bit integers that spreads every bit."""
     import numpy as np
@@ -113,7 +125,7 @@ def sign(documents: DataFrame, shingle_words: int) -> DataFrame:
         import numpy as np
 
         gc.disable()
-        shingler, circulant = Shingler(shingle_words), Circulant()
+        shingler, turn = shingler_for(shingle_words), circulant()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 some = batch.slice(start, 1000)
@@ -122,7 +134,7 @@ def sign(documents: DataFrame, shingle_words: int) -> DataFrame:
                     s = shingler(text)
                     sizes.append(len(s))
                     keys.append(set_key(s))
-                    bands.append(circulant.bands(circulant.signature(s)) if len(s) else np.zeros(0, np.int64))
+                    bands.append(turn.bands(turn.signature(s)) if len(s) else np.zeros(0, np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands)))
                 columns = [some.column(0), pa.array(sizes, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), listed]
@@ -167,7 +179,7 @@ def needed_sets(documents: DataFrame, classes: DataFrame, needed: DataFrame, shi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        shingler = Shingler(shingle_words)
+        shingler = shingler_for(shingle_words)
         for batch in batches:
             at = batch.column("at").to_numpy()
             hits = np.flatnonzero(shared.value[at // 32] >> (at % 32).astype(np.uint32) & 1)

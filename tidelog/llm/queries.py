@@ -72,6 +72,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, dropped): the positions of the lines that go, ascending, comma-joined."""
+    from .line_dedup import repeated_lines
+
+    documents = table(spark, sf_dir, "documents")
+    gone = repeated_lines(documents).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    rows = documents.select("doc_id", n_lines.cast("long").alias("n_lines")).join(gone, "doc_id", "left")
+    dropped = F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit(""))
+    return rows.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), dropped.alias("dropped"))
+
+
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import remainder, score
 
@@ -91,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_personal_data": op8_personal_data,
+    "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_language_model": op10_language_model,
 }
 
