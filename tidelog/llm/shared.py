@@ -38,6 +38,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_task_each(manifest: DataFrame) -> DataFrame:
+    """A written manifest of files, dealt so that each file is read by a task of its own."""
+    return manifest.repartition(max(1, manifest.count()))
+
+
 def open_shared(path: str):
     """(file system, path) of a shared folder or file, usable on executors; any URI pyarrow knows."""
     from pyarrow import fs

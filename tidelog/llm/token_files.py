@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, open_shared, replace_file, task_label, written
+from .shared import new_folder, one_task_each, open_shared, replace_file, task_label, written
 
 MAGIC = b"TIDEPLN1"
 
@@ -188,5 +188,5 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(rows, schema=out)
 
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("shard", pa.int64())])
-    files = manifest.select("path", "shard", "start").repartition("shard")
+    files = one_task_each(manifest.select("path", "shard", "start"))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")

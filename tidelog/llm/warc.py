@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
-from .shared import new_folder, open_shared, replace_file, task_label, written
+from .shared import new_folder, one_task_each, open_shared, replace_file, task_label, written
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
@@ -27,8 +27,8 @@ _RECORD_FIELDS = (
 )
 
 
-def record_id(page_id, repeat: int, kind: str) -> str:
-    h = hashlib.md5(f"{page_id}/{repeat}/{kind}".encode()).hexdigest()
+def record_id(page_id, digest: str, repeat: int, kind: str) -> str:
+    h = hashlib.md5(f"{page_id}/{digest}/{repeat}/{kind}".encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
@@ -51,10 +51,11 @@ def member(record: bytes, level: int = 5) -> bytes:
 def capture_records(page_id, repeat: int, url: str | None, payload: bytes, keep_id, date: str) -> list[bytes]:
     """The response or revisit, the request and the metadata record of one capture."""
     uri = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url or "") or "about:blank"
-    response = record_id(page_id, repeat, "response")
+    digest = digest_of(payload)
+    response = record_id(page_id, digest, repeat, "response")
     with_it = {"WARC-Concurrent-To": response}
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    said = {"WARC-Payload-Digest": f"sha1:{digest_of(payload)}"}
+    said = {"WARC-Payload-Digest": f"sha1:{digest}"}
     rest = re.sub(r"^\w+://", "", uri)
     host, _, path = rest.partition("/")
     get = f"GET /{path.partition('#')[0]} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()
@@ -62,12 +63,12 @@ def capture_records(page_id, repeat: int, url: str | None, payload: bytes, keep_
     if keep_id == page_id and not repeat:
         first = record_bytes("response", response, uri, date, http + payload, "application/http;msgtype=response", said)
     else:
-        said |= {"WARC-Refers-To": record_id(keep_id, 0, "response"), "WARC-Profile": _PROFILE}
+        said |= {"WARC-Refers-To": record_id(keep_id, digest, 0, "response"), "WARC-Profile": _PROFILE}
         first = record_bytes("revisit", response, uri, date, http, "application/http;msgtype=response", said)
     return [
         first,
-        record_bytes("request", record_id(page_id, repeat, "request"), uri, date, get, "application/http;msgtype=request", with_it),
-        record_bytes("metadata", record_id(page_id, repeat, "metadata"), uri, date, fields, "application/warc-fields", with_it),
+        record_bytes("request", record_id(page_id, digest, repeat, "request"), uri, date, get, "application/http;msgtype=request", with_it),
+        record_bytes("metadata", record_id(page_id, digest, repeat, "metadata"), uri, date, fields, "application/warc-fields", with_it),
     ]
 
 
@@ -88,7 +89,8 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Data
     )
     chosen = exact_dedup(rows, content="payload", id_col="page_id", keep="largest")
     chosen = chosen.select("page_id", F.unhex("text_sha256").alias("digest"), "keep_id").dropDuplicates(["page_id", "digest"])
-    both = rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).join(chosen, ["page_id", "digest"])
+    # The payloads are dealt once, for the join and for the archives.
+    both = rows.withColumn("digest", F.unhex(F.sha2("payload", 256))).repartition("page_id", "digest").join(chosen, ["page_id", "digest"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = task_label()
@@ -99,7 +101,7 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Data
         n_captures = n_bytes = 0
         before, repeat = None, 0
         with replace_file(path, attempt) as out:
-            info = record_bytes("warcinfo", record_id(part, 0, "warcinfo"), "about:blank", date, b"format: WARC File Format 1.1\r\n", "application/warc-fields", {})
+            info = record_bytes("warcinfo", record_id(part, "", 0, "warcinfo"), "about:blank", date, b"format: WARC File Format 1.1\r\n", "application/warc-fields", {})
             out.write(member(info))
             batch = first
             while batch is not None:
@@ -113,7 +115,7 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Data
                 batch = next(batches, None)
         yield pa.RecordBatch.from_pydict({"path": [path], "n_captures": [n_captures], "n_bytes": [n_bytes]})
 
-    ordered = both.repartition("page_id").sortWithinPartitions("page_id", "digest", "url")
+    ordered = both.sortWithinPartitions("page_id", "digest", "url")
     return written(ordered.mapInArrow(write, "path string, n_captures long, n_bytes long"), "archives")
 
 
@@ -190,7 +192,7 @@ def read_records(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return archives.select("path").repartition("path").mapInArrow(read, declared)
+    return one_task_each(archives.select("path")).mapInArrow(read, declared)
 
 
 def assemble(records: DataFrame) -> DataFrame:
