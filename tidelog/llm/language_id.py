@@ -199,7 +199,7 @@ def identify(documents: DataFrame, languages: Languages, batch_chars: int = 2_00
     import pyarrow as pa
 
     model = documents.sparkSession.sparkContext.broadcast(languages)  # bounded by learn()'s parameters
-    kept = documents.select("doc_id", "text", *[c for c in carry if c not in ("doc_id", "text")])
+    kept = documents.select("doc_id", "text", *[c for c in carry if c not in ("doc_id", "text", "lang_pred", "score")])
     out = kept.schema.fields
     names = [f.name for f in out if f.name != "text" or "text" in carry]
 

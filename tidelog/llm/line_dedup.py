@@ -120,18 +120,20 @@ def repeated_lines(documents: DataFrame, percent: int = 80, fuzzy: bool = True)
 def drop_lines(documents: DataFrame, drops: DataFrame) -> DataFrame:
     """``documents`` without the lines of ``drops``, with n_lines and n_dropped; other columns unchanged.
 
-    Lines that stay keep their order.  A text that loses all its lines is empty.
+    Lines that stay keep their order.  A text that loses all its lines is empty.  Columns of those two
+    names in ``documents`` are replaced.
     """
+    own = [c for c in documents.columns if c.lower() not in ("n_lines", "n_dropped", "_gone")]
     per_doc = drops.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))  # lines of one document
     per_doc = written(per_doc, "gone")
     n = per_doc.agg(F.coalesce(F.sum(F.size("_gone") + 8), F.lit(0))).first()[0]
-    out = documents.join(F.broadcast(per_doc) if n <= 8 * SMALL_SIDE else per_doc, "doc_id", "left")
+    out = documents.select(*own).join(F.broadcast(per_doc) if n <= 8 * SMALL_SIDE else per_doc, "doc_id", "left")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     return out.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in documents.columns),
+        *(text.alias("text") if c == "text" else F.col(c) for c in own),
         n_lines.alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -251,6 +251,14 @@ def stretches(text: str) -> list[list[re.Match]]:
     return out
 
 
+def _trimmed(text: str, start: int, end: int, kind: int) -> list[tuple[int, int]]:
+    """The stretch without the marks around it, if it can be of the kind."""
+    raw = text[start:end]
+    left = len(raw) - len(raw.lstrip(".,;:!?\"'<>[]{}#&*%$|=" + ("" if kind == 3 else "(")))
+    right = len(raw.rstrip(".,;:!?\"'<>[]{}#&*%$|=()"))
+    return [(start + left, start + right)] if left < right and _accepted(KINDS[kind], raw[left:right]) else []
+
+
 def find(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) for t in texts]
@@ -267,12 +275,10 @@ def find(texts: list[str], field: Field) -> list[tuple[list, list]]:
             k += 1
             while k < len(path) and path[k] == 2 * kind + 2:
                 k += 1
-            raw_start, raw_end = words[first].start(), words[k - 1].end()
-            raw = texts[i][raw_start:raw_end]
-            start = raw_start + len(raw) - len(raw.lstrip(".,;:!?\"'<>[]{}#&*%$|=" + ("" if kind == 3 else "(")))
-            end = raw_end - len(raw) + len(raw.rstrip(".,;:!?\"'<>[]{}#&*%$|=()"))
-            if start < end and _accepted(KINDS[kind], texts[i][start:end]) and all(end <= a or start >= b for a, _, b in base[i]):
-                added[i].append((start, kind, end))
+            # A labelled run that is no such thing as a whole may be several, a word each.
+            if not (runs := _trimmed(texts[i], words[first].start(), words[k - 1].end(), kind)):
+                runs = [x for m in words[first:k] for x in _trimmed(texts[i], m.start(), m.end(), kind)]
+            added[i] += [(x, kind, y) for x, y in runs if all(y <= a or x >= b for a, _, b in base[i])]
     return [(b, sorted(b + a)) for b, a in zip(base, added)]
 
 
