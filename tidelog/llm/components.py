@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = arcs.unionByName(arcs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
+        large = large.where("u > v")
         small = _with_least(large)
         small = small.select(F.col("v").alias("x"), "m").unionByName(small.select(F.col("u").alias("x"), "m"))
         arcs = written(small.where("x > m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "arcs")

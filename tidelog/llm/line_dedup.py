@@ -37,14 +37,14 @@ def lines_of(documents: DataFrame) -> DataFrame:
     return lines.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(7), "line"))
 
 
-def band_rows(lines: DataFrame) -> DataFrame:
-    """(key, k1, n): a row per band of every distinct line; n is its number of characters."""
-    shingles = lines.select("k1", F.length("line").alias("n"), F.explode(F.regexp_extract_all("line", F.lit(_SHINGLES), F.lit(1))).alias("s"))
-    h = shingles.select("k1", "n", F.hash("s").alias("h"))
+def signed_lines(lines: DataFrame) -> DataFrame:
+    """(k1, k2, copies, keys): every distinct line with its number of occurrences and a key per band."""
+    found = lines.select("k1", "k2", F.regexp_extract_all("line", F.lit(_SHINGLES), F.lit(1)).alias("all"))
+    found = found.select("k1", "k2", F.size("all").alias("n"), F.explode("all").alias("s")).select("k1", "k2", "n", F.hash("s").alias("h"))
     least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)]
-    signed = h.groupBy("k1", "n").agg(*least)
+    signed = found.groupBy("k1", "k2", "n").agg(F.count(F.lit(1)).alias("rows"), *least)
     keys = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    return signed.select("k1", "n", F.array(*keys).alias("keys")).select(F.explode("keys").alias("key"), "k1", "n")
+    return signed.select("k1", "k2", F.expr("rows div n").alias("copies"), F.array(*keys).alias("keys"))
 
 
 def grams(line: Column) -> Column:
@@ -58,11 +58,8 @@ def narrow_to(big: DataFrame, small: DataFrame, on: list[str], n: int) -> DataFr
     return big.join(F.broadcast(small) if n <= SMALL_SIDE else small, on)
 
 
-def similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose 5-gram sets have 100 * intersection >= percent * union."""
-    ends = written(pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct(), "line-ends")
-    texts = narrow_to(lines.select("k1", "line"), ends, ["k1"], ends.count()).groupBy("k1").agg(F.max("line").alias("line"))
-    texts = written(texts, "line-texts")
     both = pairs.join(texts.select(F.col("k1").alias("a"), F.col("line").alias("la")), "a")
     both = both.join(texts.select(F.col("k1").alias("b"), F.col("line").alias("lb")), "b")
     both = both.select("a", "b", grams(F.col("la")).alias("ga"), grams(F.col("lb")).alias("gb"))
@@ -70,25 +67,32 @@ def similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("ab") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("ab"))).select("a", "b")
 
 
-def similar_lines(lines: DataFrame, percent: int = 80, rounds: int = 3) -> DataFrame:
+def similar_lines(lines: DataFrame, signed: DataFrame, percent: int = 80, rounds: int = 2) -> DataFrame:
     """(k1, component): the classes of lines that links join, by their keys."""
-    rows = band_rows(lines)
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("longest"), F.min("k1").alias("lead")).where("size > 1")
+    rows = signed.select("k1", F.explode("keys").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(rows.join(buckets.select("key"), "key"), "line-members")
+    # The texts of all lines that are compared in any round, fetched once.
+    nodes = written(members.select("k1").distinct(), "line-nodes")
+    texts = narrow_to(lines.select("k1", "line"), nodes, ["k1"], nodes.count()).groupBy("k1").agg(F.max("line").alias("line"))
+    texts = written(texts, "line-texts")
     edges = tried = joined = None
     for turn in range(rounds):
-        at = members if joined is None else members.join(joined, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
         if joined is None:
-            at = at.withColumn("component", F.col("k1"))
+            at = members.withColumn("component", F.col("k1"))
+        else:
+            at = members.join(joined, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
         order = F.xxhash64(F.lit(turn), "k1")
-        lead = at.groupBy("key").agg(F.min(F.struct(order.alias("o"), "k1", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        lead = lead.where("lo != hi").select("key", F.col("lead.k1").alias("lead"), F.col("lead.component").alias("lead_component"))
-        pairs = at.join(lead, "key").where("component != lead_component").select(F.least("k1", "lead").alias("a"), F.greatest("k1", "lead").alias("b")).distinct()
+        lead = at.groupBy("key").agg(
+            F.min_by("k1", order).alias("lead"), F.min_by("component", order).alias("lead_component"), F.min("component").alias("lo"), F.max("component").alias("hi")
+        )
+        pairs = at.join(lead.where("lo != hi"), "key").where("component != lead_component")
+        pairs = pairs.select(F.least("k1", "lead").alias("a"), F.greatest("k1", "lead").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "line-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        fresh = written(similar(pairs, lines, percent), "line-links")
+        fresh = written(similar(pairs, texts, percent), "line-links")
         if turn and fresh.isEmpty():
             break
         edges = fresh if edges is None else edges.unionByName(fresh)
@@ -99,16 +103,18 @@ def similar_lines(lines: DataFrame, percent: int = 80, rounds: int = 3) -> DataF
 def repeated_lines(documents: DataFrame, percent: int = 80, fuzzy: bool = True) -> DataFrame:
     """(doc_id, pos, keep_doc_id, keep_pos): every line to drop, with the line that stays for it.
 
-    Of the lines of a component, the one of the smallest (doc_id, pos) stays.  Blank lines are never
-    dropped; a null text has no lines; a null doc_id comes after all others.  Rows that share a
+    Of the lines of a component, the one of the smallest (doc_id, pos) stays.  Lines of white space only
+    are never dropped; a null text has no lines; a null doc_id comes after all others.  Rows that share a
     doc_id and a position count as one line.  Written before it is returned.
     """
     lines = lines_of(documents)
-    classes = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    told = classes.where("copies > 1").select("k1", "k2", F.col("k1").alias("component"))
     if fuzzy:
-        joined = similar_lines(lines, percent)
-        told = classes.join(joined, "k1", "left").where("copies > 1 or component is not null").select("k1", "k2", F.coalesce("component", "k1").alias("component"))
+        signed = written(signed_lines(lines), "line-signatures")
+        joined = similar_lines(lines, signed, percent)
+        told = signed.join(joined, "k1", "left").where("copies > 1 or component is not null").select("k1", "k2", F.coalesce("component", "k1").alias("component"))
+    else:
+        classes = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+        told = classes.where("copies > 1").select("k1", "k2", F.col("k1").alias("component"))
     last = F.lit((1 << 63) - 1)
     place = F.struct(F.coalesce("doc_id", last).alias("d"), F.col("pos").alias("p"))
     found = written(lines.select("doc_id", "pos", "k1", "k2").join(told, ["k1", "k2"]).select("component", "doc_id", "pos"), "line-copies")
