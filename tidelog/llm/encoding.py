@@ -11,6 +11,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 #: Latin letters, all of which are in Unicode's class L.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -37,6 +38,7 @@ class Encoder:
         self._blank = self._tokenizer.normalizer is None  # byte-level: a blank belongs to the word after it
         self._chunks: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
+        self._again: dict[str, bytes] = {}
         self._remember, self._piece_chars = remember, piece_chars
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -59,28 +61,39 @@ class Encoder:
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of chunks not remembered so far; a word and the punctuation after it are two pieces."""
-        pieces, keep = self._pieces, self._piece_chars
+        pieces, keep, blank = self._pieces, self._piece_chars, self._blank
         parts = []
         for chunk in missing:
-            text = self._text_of(chunk)
+            text = self._text_of(chunk) if blank else chunk
             word = text.rstrip(_MARKS)
-            last = word[-1:]
-            parts.append((chunk, word, text[len(word) :]) if last.isalpha() and last < "\u0250" else (chunk, text, ""))
-        new = list({p for _, a, b in parts for p in (a, b) if p not in pieces})
+            if len(word) == len(text):
+                parts.append((chunk, text, ""))
+            else:
+                last = word[-1:]
+                parts.append((chunk, word, text[len(word) :]) if last.isalpha() and last < "\u0250" else (chunk, text, ""))
+        new = {p for _, a, b in parts for p in (a, b) if p not in pieces}
         if len(pieces) + len(new) > self._remember:
-            pieces.clear()
-            self._chunks.clear()
-            new = list({p for _, a, b in parts for p in (a, b)})
-        fresh = set(new)
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
+            # Pieces that came again since the last time stay; so does what this call needs.
+            used = {p for _, a, b in parts for p in (a, b)} - new
+            self._again.update((p, pieces[p]) for p in used)
+            if len(self._again) > self._remember // 2:
+                self._again = {p: pieces[p] for p in used}
+            pieces = self._pieces = self._again
+            self._again = {}
+        fresh = list(new)
+        for start in range(0, len(fresh), 10_000):
+            part = fresh[start : start + 10_000]
             pieces.update(zip(part, self._whole(part)))
-        found = {chunk: pieces[a] + pieces[b] if b else pieces[a] for chunk, a, b in parts}
-        # A word met for the second time is likely to come again.
-        if len(self._chunks) + len(parts) > self._remember // 2:
-            self._chunks.clear()
-        self._chunks.update((chunk, found[chunk]) for chunk, a, _ in parts if a not in fresh and len(chunk) <= keep)
-        for piece in [p for p in new if len(p) > keep]:
+        found, again = {}, {}
+        for chunk, a, b in parts:
+            found[chunk] = pieces[a] + pieces[b] if b else pieces[a]
+            if a not in new and len(chunk) <= keep:  # a word met for the second time is likely to come again
+                again[chunk] = found[chunk]
+                self._again[a] = pieces[a]
+        if len(self._chunks) + len(again) > self._remember // 2:
+            self._chunks = dict(islice(self._chunks.items(), len(self._chunks) // 2, None))
+        self._chunks.update(again)
+        for piece in [p for p in fresh if len(p) > keep]:
             del pieces[piece]
         return found
 
@@ -89,7 +102,8 @@ class Encoder:
         out: list[bytes] = []
         for start in range(0, len(texts), block):
             cut = [self._split(t) for t in texts[start : start + block]]
-            found = [c and list(map(self._chunks.get, c)) for c in cut]
+            known = self._chunks.get
+            found = [c and list(map(known, c)) for c in cut]
             missing = {c for chunks, ids in zip(cut, found) if chunks and None in ids for c, i in zip(chunks, ids) if i is None}
             look = self._learn(missing).__getitem__ if missing else None
             for text, chunks, ids in zip(texts[start : start + block], cut, found):

@@ -50,7 +50,8 @@ def configuration_program(demand: dict[int, int], capacity: int, epsilon: float
 
     ``demand``: items per class size.  Each round prices a configuration, buys as much of it as
     brings the most covered of its classes forward by an epsilon share, and lowers the prices of what
-    it covers.  The purchases, scaled so that the least covered class is just covered, are feasible.
+    it covers.  The purchases are scaled so that the least covered class is just covered, but to no
+    more than twice the median class's need: what stays short then is left to the last step of rounding.
     """
     import numpy as np
 
