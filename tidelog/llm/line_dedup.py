@@ -23,8 +23,9 @@ from .components import connected_components
 from .shared import written
 
 SHINGLE, GRAM, BANDS, ROWS = 8, 5, 8, 4
-#: A shingle: the characters from a word's start on, or from any character past the Latin blocks.
-_SHINGLES = rf"(?:(?<!\S)(?=\S)|(?=[^\x00-ɏ]))(?=(.{{1,{SHINGLE}}}))"
+#: A shingle: the characters from a word's start on, or from any character past the Latin blocks.  After
+#: a match the rest of its Latin run is skipped at once, since no shingle starts there.
+_SHINGLES = rf"(?:(?<!\S)(?=\S)|(?=[^\x00-ɏ]))(?=(.{{1,{SHINGLE}}}))(?:[!-ɏ]++|.)"
 _MASKS = [random.Random(1000 + k).getrandbits(32) - (1 << 31) for k in range(BANDS * ROWS)]
 #: Up to so many rows a side of known size goes to every task; beyond, the join is by shuffle.
 SMALL_SIDE = 400_000
@@ -47,10 +48,13 @@ def signed_lines(lines: DataFrame) -> DataFrame:
     return signed.select("k1", "k2", F.expr("rows div n").alias("copies"), F.array(*keys).alias("keys"))
 
 
-def grams(line: Column) -> Column:
-    """Hashes of the distinct 5-grams; a shorter line is its own gram."""
-    all_of = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
-    return F.when(F.length(line) < GRAM, F.array(F.xxhash64(line))).otherwise(F.array_distinct(F.transform(all_of, lambda g: F.xxhash64(g))))
+def grams(wide: str, chars: str) -> Column:
+    """Hashes of the distinct 5-grams of a line; a shorter line is its own gram.
+
+    ``wide`` is a stored column of four bytes a character, so that a gram is a slice, found at once.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.col(chars) - GRAM, F.lit(0)))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col(wide), i * 4 + 1, F.lit(4 * GRAM)))))
 
 
 def narrow_to(big: DataFrame, small: DataFrame, on: list[str], n: int) -> DataFrame:
@@ -60,9 +64,9 @@ def narrow_to(big: DataFrame, small: DataFrame, on: list[str], n: int) -> DataFr
 
 def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose 5-gram sets have 100 * intersection >= percent * union."""
-    both = pairs.join(texts.select(F.col("k1").alias("a"), F.col("line").alias("la")), "a")
-    both = both.join(texts.select(F.col("k1").alias("b"), F.col("line").alias("lb")), "b")
-    both = both.select("a", "b", grams(F.col("la")).alias("ga"), grams(F.col("lb")).alias("gb"))
+    both = pairs.join(texts.select(F.col("k1").alias("a"), F.col("wide").alias("wa"), F.col("chars").alias("ca")), "a")
+    both = both.join(texts.select(F.col("k1").alias("b"), F.col("wide").alias("wb"), F.col("chars").alias("cb")), "b")
+    both = both.select("a", "b", grams("wa", "ca").alias("ga"), grams("wb", "cb").alias("gb"))
     both = both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("ab"))
     return both.where(F.lit(100) * F.col("ab") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("ab"))).select("a", "b")
 
@@ -75,7 +79,7 @@ def similar_lines(lines: DataFrame, signed: DataFrame, percent: int = 80, rounds
     # The texts of all lines that are compared in any round, fetched once.
     nodes = written(members.select("k1").distinct(), "line-nodes")
     texts = narrow_to(lines.select("k1", "line"), nodes, ["k1"], nodes.count()).groupBy("k1").agg(F.max("line").alias("line"))
-    texts = written(texts, "line-texts")
+    texts = written(texts.select("k1", F.encode("line", "UTF-32").alias("wide"), F.length("line").alias("chars")), "line-texts")
     edges = tried = joined = None
     for turn in range(rounds):
         if joined is None:
