@@ -447,3 +447,21 @@ def test_words_fold_only_ascii():
     assert [w.decode() for w in words_of(text.encode())] == brute.TEST_WORD.findall(brute.lower(text))
     assert [w.decode() for w in model_words(text)] == brute.SPACE_WORD.findall(brute.lower(text))
     assert re.findall("x", "") == []
+
+
+def test_lines_of_one_bucket_are_all_compared(spark):
+    """Many different pairs of near copies that share all buckets: in one large bucket, and in small ones."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs, n = {}, 0
+    for _ in range(150):
+        own = "https://" + letters(80)
+        docs |= {n: own, n + 1: own + "/"}
+        n += 2
+    for _ in range(40):
+        start = letters(8)
+        for own in (start + letters(60) for _ in range(3)):
+            docs |= {n: own, n + 1: own + "."}
+            n += 2
+    share, want = recall_of_lines(spark, docs)
+    assert len(want) == 270 and share == 1

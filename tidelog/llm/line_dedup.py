@@ -6,10 +6,11 @@ blocks, at any character): their number is that of the words, so a signature cos
 lines in scripts without blanks have them too.  Coordinate k of a signature is the least hash after
 an exclusive-or with constant k; a band of coordinates is a bucket key.
 
-Exact copies of a line are one class throughout.  In each round every class of a bucket is compared
-with the bucket's leader, another one each round, unless both are joined already; the comparison is
-exact, on the full 5-gram sets.  Links become components, and of a component the first line, by
-(doc_id, position), stays.
+Exact copies of a line are one class throughout.  Every class of a bucket is compared with the bucket's
+leader, then with another one, unless both are joined already; this joins large groups early.  Then all
+pairs of a bucket that are not joined yet are compared: in buckets of at most SMALL classes directly, in
+larger ones unless prefix filtering on the 5-grams excludes them.  The comparison is exact, on the full
+5-gram sets.  Links become components, and of a component the first line, by (doc_id, position), stays.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, prefix_pairs
 from .shared import written
 
 SHINGLE, GRAM, BANDS, ROWS = 8, 5, 8, 4
@@ -29,6 +30,8 @@ _SHINGLES = rf"(?:(?<!\S)(?=\S)|(?=[^\x00-ɏ]))(?=(.{{1,{SHINGLE}}}))(?:[!-ɏ]++
 _MASKS = [random.Random(1000 + k).getrandbits(32) - (1 << 31) for k in range(BANDS * ROWS)]
 #: Up to so many rows a side of known size goes to every task; beyond, the join is by shuffle.
 SMALL_SIDE = 400_000
+#: Buckets of up to so many classes are compared pair by pair.
+SMALL = 32
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -68,36 +71,51 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("ab") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("ab"))).select("a", "b")
 
 
-def similar_lines(lines: DataFrame, signed: DataFrame, percent: int = 80, rounds: int = 2) -> DataFrame:
+def similar_lines(lines: DataFrame, signed: DataFrame, percent: int = 80, leaders: int = 2) -> DataFrame:
     """(k1, component): the classes of lines that links join, by their keys."""
     rows = signed.select("k1", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = written(rows.join(buckets.select("key"), "key"), "line-members")
-    # The texts of all lines that are compared in any round, fetched once.
+    members = written(rows.join(buckets, "key"), "line-members")
+    # The texts of all lines that are compared, fetched once.
     nodes = written(members.select("k1").distinct(), "line-nodes")
     texts = narrow_to(lines.select("k1", "line"), nodes, ["k1"], nodes.count()).groupBy("k1").agg(F.max("line").alias("line"))
     texts = written(texts, "line-texts")
     edges = tried = joined = None
-    for turn in range(rounds):
+
+    def placed() -> DataFrame:
+        """The members of buckets with more than one component, each with its own."""
         if joined is None:
             at = members.withColumn("component", F.col("k1"))
         else:
             at = members.join(joined, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
-        order = F.xxhash64(F.lit(turn), "k1")
-        lead = at.groupBy("key").agg(
-            F.min_by("k1", order).alias("lead"), F.min_by("component", order).alias("lead_component"), F.min("component").alias("lo"), F.max("component").alias("hi")
-        )
-        pairs = at.join(lead.where("lo != hi"), "key").where("component != lead_component")
-        pairs = pairs.select(F.least("k1", "lead").alias("a"), F.greatest("k1", "lead").alias("b")).distinct()
+        open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+        return written(at.join(open_keys, "key"), "line-open")
+
+    def link(pairs: DataFrame) -> None:
+        """Compares the pairs (a, b) that have not been compared before."""
+        nonlocal edges, tried, joined
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "line-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         fresh = written(similar(pairs, texts, percent), "line-links")
-        if turn and fresh.isEmpty():
-            break
+        if joined is not None and fresh.isEmpty():
+            return
         edges = fresh if edges is None else edges.unionByName(fresh)
         joined = written(connected_components(edges), "line-components").withColumnRenamed("node", "k1")
+
+    for turn in range(leaders):
+        at, order = placed(), F.xxhash64(F.lit(turn), "k1")
+        lead = at.groupBy("key").agg(F.min_by("k1", order).alias("lead"), F.min_by("component", order).alias("lead_component"))
+        pairs = at.join(lead, "key").where("component != lead_component")
+        link(pairs.select(F.least("k1", "lead").alias("a"), F.greatest("k1", "lead").alias("b")).distinct())
+    at = placed()
+    x, y = (at.where(F.col("size") <= SMALL).select("key", F.col("k1").alias(name), F.col("component").alias(f"c{name}")) for name in ("a", "b"))
+    pairs = x.join(y, "key").where("a < b and ca != cb").select("a", "b")
+    large = at.where(F.col("size") > SMALL).select("k1", "component").distinct()
+    each = large.join(texts, "k1").select(F.col("k1").alias("c"), "component", grams(F.col("line")).alias("all"))
+    each = written(each.select("c", "component", F.size("all").alias("n"), F.explode("all").alias("s")), "line-grams")
+    link(pairs.unionByName(prefix_pairs(each, percent)).distinct())
     return joined
 
 
