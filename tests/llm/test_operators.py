@@ -465,3 +465,19 @@ def test_lines_of_one_bucket_are_all_compared(spark):
             n += 2
     share, want = recall_of_lines(spark, docs)
     assert len(want) == 270 and share == 1
+
+
+def test_short_lines_and_lines_without_blanks(spark):
+    """Near copies of few words, addresses with another scheme, and long tokens with a mark put before them."""
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs, n = {}, 0
+    for _ in range(60):
+        words, path, token = [word(rng.randrange(3, 8)) for _ in range(4)], word(40), word(37)
+        for pair in ((" ".join(words), " ".join(words) + "!"), (f"https://{path}", f"http://{path}"), (token, '"' + token)):
+            for own in pair:
+                docs[n] = own
+                n += 1
+    docs |= {2000: "Read more here", 2001: "Read more here!", 2002: "日本語の文章をここに書きます", 2003: "日本語の文章をここに書きます。"}
+    share, want = recall_of_lines(spark, docs)
+    assert len(want) > 150 and share >= 0.98

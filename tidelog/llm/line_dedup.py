@@ -1,10 +1,9 @@
 """Near-duplicate lines across documents (DataFrame operations only).
 
 A line's similarity to another is the Jaccard index of their sets of character 5-grams.  Candidates
-come from MinHash over longer character shingles, those that start at a word (or, past the Latin
-blocks, at any character): their number is that of the words, so a signature costs one pass, and
-lines in scripts without blanks have them too.  Coordinate k of a signature is the least hash after
-an exclusive-or with constant k; a band of coordinates is a bucket key.
+come from MinHash over the same 5-grams, all of them, so a pair's chance depends on its similarity alone,
+however short the lines are and whatever their script.  Coordinate k of a signature is the least hash
+after a multiplication by the odd constant k, modulo 2**31; a band of coordinates is a bucket key.
 
 Exact copies of a line are one class throughout.  Every class of a bucket is compared with the bucket's
 leader, then with another one, unless both are joined already; this joins large groups early.  Then all
@@ -23,11 +22,10 @@ from pyspark.sql import functions as F
 from .components import connected_components, prefix_pairs
 from .shared import written
 
-SHINGLE, GRAM, BANDS, ROWS = 8, 5, 8, 4
-#: A shingle: the characters from a word's start on, or from any character past the Latin blocks.  After
-#: a match the rest of its Latin run is skipped at once, since no shingle starts there.
-_SHINGLES = rf"(?:(?<!\S)(?=\S)|(?=[^\x00-ɏ]))(?=(.{{1,{SHINGLE}}}))(?:[!-ɏ]++|.)"
-_MASKS = [random.Random(1000 + k).getrandbits(32) - (1 << 31) for k in range(BANDS * ROWS)]
+#: Lines with Jaccard 0.8 share a band with probability 1 - (1 - 0.8**4)**10 = 0.995.
+GRAM, BANDS, ROWS = 5, 10, 4
+_LOW = (1 << 31) - 1
+_FACTORS = [random.Random(1000 + k).getrandbits(31) | 1 for k in range(BANDS * ROWS)]
 #: Up to so many rows a side of known size goes to every task; beyond, the join is by shuffle.
 SMALL_SIDE = 400_000
 #: Buckets of up to so many classes are compared pair by pair.
@@ -43,9 +41,12 @@ def lines_of(documents: DataFrame) -> DataFrame:
 
 def signed_lines(lines: DataFrame) -> DataFrame:
     """(k1, k2, copies, keys): every distinct line with its number of occurrences and a key per band."""
-    found = lines.select("k1", "k2", F.regexp_extract_all("line", F.lit(_SHINGLES), F.lit(1)).alias("all"))
-    found = found.select("k1", "k2", F.size("all").alias("n"), F.explode("all").alias("s")).select("k1", "k2", "n", F.hash("s").alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)]
+    # Four bytes a character: a 5-gram is a slice at a known place.
+    wide = lines.select("k1", "k2", F.encode("line", "UTF-32").alias("wide"))
+    wide = wide.withColumn("n", F.greatest(F.expr("octet_length(wide) div 4").cast("int") - (GRAM - 1), F.lit(1)))
+    found = wide.select("k1", "k2", "n", "wide", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    found = found.select("k1", "k2", "n", F.hash(F.substring("wide", F.col("i") * 4 + 1, F.lit(4 * GRAM))).bitwiseAND(F.lit(_LOW)).cast("long").alias("h"))
+    least = [F.min((F.col("h") * F.lit(f)).bitwiseAND(F.lit(_LOW))).alias(f"m{k}") for k, f in enumerate(_FACTORS)]
     signed = found.groupBy("k1", "k2", "n").agg(F.count(F.lit(1)).alias("rows"), *least)
     keys = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     return signed.select("k1", "k2", F.expr("rows div n").alias("copies"), F.array(*keys).alias("keys"))
