@@ -481,3 +481,24 @@ def test_short_lines_and_lines_without_blanks(spark):
     docs |= {2000: "Read more here", 2001: "Read more here!", 2002: "日本語の文章をここに書きます", 2003: "日本語の文章をここに書きます。"}
     share, want = recall_of_lines(spark, docs)
     assert len(want) > 150 and share >= 0.98
+
+
+def test_near_dedup_joins_large_groups_without_their_base(spark, monkeypatch):
+    """Pairs of near copies that share a band in one large bucket, similar neither to its first member nor to its hub."""
+    from pyspark.sql import functions as F
+
+    from tidelog.llm import near_dedup as N
+
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    base, docs = [word() for _ in range(100)], {}
+    for i in range(60):
+        own = list(base)
+        for p in rng.sample(range(100), 30):
+            own[p] = word()
+        near = list(own)
+        near[rng.randrange(100)] = word()
+        docs |= {2 * i: " ".join(own), 2 * i + 1: " ".join(near)}
+    sign, one = N.sign, F.array(F.lit(1).cast("long"))
+    monkeypatch.setattr(N, "sign", lambda documents, size: sign(documents, size).withColumn("bands", one))  # all share a bucket
+    check_near(spark, docs, 2)

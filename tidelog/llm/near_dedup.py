@@ -11,10 +11,12 @@ share a bucket.  Pairs are made in rounds, and each is verified on the full sets
 1. every member of a bucket with the bucket's first member;
 2. in buckets of at most SMALL members, all pairs of members that no link has joined so far;
 3. in larger buckets, every member with its bucket's hub (the member with the most links) if they are
-   not joined yet, again until a round finds no new link.
+   not joined yet, again until a round finds no new link, at most ``rounds`` times;
+4. then, in larger buckets, all pairs that are still not joined, unless prefix filtering on the full sets
+   shows that they cannot be similar.
 
-So a bucket never gives more than a bounded number of pairs per member, and a large group of copies
-is joined in the first round.
+A large group of copies is joined in the first round, and the hubs join most variants; only what is left
+comes to the last step, which leaves out no pair of a bucket.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, prefix_pairs
 from .shared import written
 
 RING, COORDINATES, BAND = 1 << 20, 160, 5
@@ -197,6 +199,23 @@ def needed_sets(documents: DataFrame, classes: DataFrame, needed: DataFrame, shi
     return sets.join(wanted, ["c", "k1", "k2"]).groupBy("c").agg(F.first("shingles").alias("shingles"))
 
 
+def elements(sets: DataFrame) -> DataFrame:
+    """(c, component, n, s): a row per shingle of the sets (c, component, shingles)."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for i, packed in enumerate(batch.column("shingles")):
+                s = np.frombuffer(packed.as_buffer(), np.int64)
+                columns = [pa.array(np.full(len(s), batch.column(k)[i].as_py(), np.int64)) for k in ("c", "component")]
+                columns += [pa.array(np.full(len(s), len(s), np.int32)), pa.array(s)]
+                yield pa.RecordBatch.from_arrays(columns, ["c", "component", "n", "s"])
+
+    return sets.select("c", "component", "shingles").mapInArrow(run, "c long, component long, n int, s long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
     import pyarrow as pa
@@ -246,11 +265,16 @@ def near_dedup(documents: DataFrame, shingle_words: int = 5, percent: int = 80,
     stars = stars.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("m")), "a").where(close).select("a", "b")
     tried = written(stars, "tried")
     edges = links(tried)
-    for turn in range(rounds):
+
+    def still_open() -> DataFrame:
+        """The members of buckets with more than one component, each with its own."""
         joined = written(connected_components(edges), "components").withColumnRenamed("node", "c")
         placed = members.join(joined, "c", "left").withColumn("component", F.coalesce("component", "c"))
         open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-        placed = written(placed.join(open_keys, "key"), "open")
+        return written(placed.join(open_keys, "key"), "open")
+
+    for turn in range(rounds):
+        placed = still_open()
         degree = edges.select(F.col("a").alias("c")).unionByName(edges.select(F.col("b").alias("c"))).groupBy("c").agg(F.count(F.lit(1)).alias("degree"))
         large = placed.where(F.col("size") > SMALL).join(degree, "c", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         hub = large.groupBy("key").agg(F.max_by(F.struct("c", "n", "component"), F.struct("degree", "c")).alias("hub"))
@@ -268,6 +292,12 @@ def near_dedup(documents: DataFrame, shingle_words: int = 5, percent: int = 80,
         if fresh.isEmpty():
             break
         edges = written(edges.unionByName(fresh), "edges")
+    rest = written(still_open().where(F.col("size") > SMALL).select("c", "component").distinct(), "rest")
+    if not rest.isEmpty():
+        sets = needed_sets(documents, classes, rest.select("c"), shingle_words)
+        each = written(elements(sets.join(rest, "c")), "elements")
+        pairs = prefix_pairs(each, percent).join(tried, ["a", "b"], "left_anti")
+        edges = written(edges.unionByName(links(written(pairs, "tries"))), "edges")
     joined = written(connected_components(edges), "components").withColumnRenamed("node", "c")
     # Only classes that say something new about a document come back to the documents.
     told = (
