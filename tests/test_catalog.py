@@ -37,3 +37,13 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stream_takes_all_events(spark, tmp_path, monkeypatch):
+    from tidelog.plans import catalog
+    from tidelog.sources.store import LogStore
+
+    monkeypatch.setattr(catalog, "_work_folder", lambda spark, label: str(tmp_path / label))
+    QUERIES["stream_append_replay"](spark, "/root/testdata/sf0.01")
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").count()
+    assert events > 2000 and LogStore(spark, str(tmp_path / "stream" / "store")).read().count() == events

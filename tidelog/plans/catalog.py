@@ -500,16 +500,19 @@ def _canonical(spark, sf_dir):
 
 @query(f"WITH {_LOGS} SELECT source_id, ts, seq, key, value, labels_txt FROM logs WHERE seq < 2000")
 def stream_append_replay(spark, sf_dir):
-    """Slices of events go through a stream into the store, twice; each record is there once."""
+    """Slices of all events go through a stream into the store, twice; each record is there once.
+
+    The records that the SQL lists are returned.
+    """
     root = _work_folder(spark, "stream")
-    rows = _canonical(spark, sf_dir).where("seq < 2000")
+    rows = _canonical(spark, sf_dir)
     schema = rows.schema
     rows.withColumn("slice", F.col("seq") % 3).write.partitionBy("slice").parquet(f"{root}/in1")
     store = LogStore(spark, f"{root}/store")
     for turn in (1, 2):  # the second run is a replay under a new checkpoint
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 8).parquet(f"{root}/in1")
         streaming.ingest(stream, store, f"{root}/checkpoint-{turn}").awaitTermination()
-    found = streams.attach_labels(store.read().drop("labels"), store.streams())
+    found = streams.attach_labels(store.read().drop("labels"), store.streams()).where("seq < 2000")
     return found.select("source_id", "ts", "seq", "key", "value", C.labels_text("labels").alias("labels_txt"))
 
 
