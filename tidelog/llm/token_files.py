@@ -4,7 +4,8 @@ A file is, in this order:
 
     magic "TIDEPLN1"
     blocks      each: the block's planes, one zstandard frame per plane, end to end
-    documents   a zstandard frame of the doc_ids (little-endian int64), then one of the lengths
+    documents   a zstandard frame of the doc_ids (little-endian int64), one of the lengths, and one of
+                a byte per document that is 1 where it has no doc_id
     index       a zstandard frame of JSON: plane kind, ids per block, for each block its place in the
                 file, its number of ids and its planes' sizes, and the sizes of the document frames
     the index frame's size (little-endian uint64), magic
@@ -48,7 +49,7 @@ def ids_of(planes: list[bytes], n: int, kind: str):
     return np.ascontiguousarray(rows).view("<u4").reshape(-1)
 
 
-def write_file(out, documents: Iterable[tuple[int, bytes]], block_ids: int = 65_536, kind: str = "byte", level: int = 3) -> tuple[int, int]:
+def write_file(out, documents: Iterable[tuple[int | None, bytes]], block_ids: int = 65_536, kind: str = "byte", level: int = 3) -> tuple[int, int]:
     """Writes (doc_id, ids in bytes) in the given order; returns the numbers of documents and ids.
 
     Holds one block, the document table and one document at a time.
@@ -77,7 +78,8 @@ def write_file(out, documents: Iterable[tuple[int, bytes]], block_ids: int = 65_
             del waiting[: 4 * block_ids]
     if waiting:
         flush(bytes(waiting))
-    tables = [pack(np.asarray(x, "<i8").tobytes()) for x in (doc_ids, lengths)]
+    columns = ([i or 0 for i in doc_ids], lengths)
+    tables = [*(pack(np.asarray(x, "<i8").tobytes()) for x in columns), pack(bytes(i is None for i in doc_ids))]
     head = {"planes": kind, "block_ids": block_ids, "blocks": blocks, "documents": [at, len(doc_ids), [len(t) for t in tables]]}
     index = pack(json.dumps(head).encode())
     for part in (*tables, index, len(index).to_bytes(8, "little"), MAGIC):
@@ -99,9 +101,10 @@ class TokenFile:
             raise ValueError("not a token file")
         n = int.from_bytes(tail[:8], "little")
         self.index = json.loads(self._open(source.read_at(n, size - 16 - n)))
-        at, _, (a, b) = self.index["documents"]
-        self.doc_ids = np.frombuffer(self._open(source.read_at(a, at)), "<i8")
+        at, _, (a, b, c) = self.index["documents"]
+        ids = np.frombuffer(self._open(source.read_at(a, at)), "<i8").tolist()
         self.lengths = np.frombuffer(self._open(source.read_at(b, at + a)), "<i8")
+        self.doc_ids = [None if gone else i for i, gone in zip(ids, self._open(source.read_at(c, at + a + b)))]
 
     def block(self, k: int):
         at, n, sizes = self.index["blocks"][k]
@@ -111,10 +114,10 @@ class TokenFile:
             at += size
         return ids_of(planes, n, self.index["planes"])
 
-    def documents(self) -> Iterator[tuple[int, bytes]]:
+    def documents(self) -> Iterator[tuple[int | None, bytes]]:
         """(doc_id, ids in bytes), in file order; holds one block and one document."""
         waiting, k = bytearray(), 0
-        for doc_id, n in zip(self.doc_ids.tolist(), self.lengths.tolist()):
+        for doc_id, n in zip(self.doc_ids, self.lengths.tolist()):
             while len(waiting) < 4 * n:
                 waiting += self.block(k).tobytes()
                 k += 1
@@ -126,7 +129,8 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, kind: str = "
     """Encodes ``text`` and writes files in ascending doc_id order; returns their manifest.
 
     Manifest: (path, shard, n_docs, n_ids, start), a row per file, ``start`` counting the ids of all
-    files before.  A null text is encoded as empty; documents without a doc_id come first, as id -1.
+    files before.  A null text is encoded as empty; documents without a doc_id come first
+    and have none in the file either.
     Rows of one doc_id stay together, in the order of their texts.  An empty table gives no file.
     """
     import pyarrow as pa
@@ -134,11 +138,8 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, kind: str = "
     folder = new_folder(df.sparkSession, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
         from .encoding import encoder_for
 
-        gc.disable()
         shard, attempt = task_label()
         encoder, end = encoder_for(vocabulary), end_id.to_bytes(4, "little")
 
@@ -160,7 +161,7 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int, kind: str = "
         yield pa.RecordBatch.from_pydict({"path": [path], "shard": [shard], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     ordered = (
-        df.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
