@@ -170,11 +170,8 @@ def pack_documents(df: DataFrame, vocabulary: str, end_id: int, capacity: int =
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
         from .encoding import encoder_for
 
-        gc.disable()
         part, _ = task_label()
         encoder, end = encoder_for(vocabulary), end_id.to_bytes(4, "little")
         seen: dict[int, int] = {}
@@ -227,5 +224,6 @@ def pack_documents(df: DataFrame, vocabulary: str, end_id: int, capacity: int =
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = pieces.join(bases.select("length", "part", "base"), ["length", "part"])
+    # A row per length and partition grows with the corpus, so it is never sent out whole.
+    ranked = pieces.join(bases.select("length", "part", "base").hint("shuffle_merge"), ["length", "part"])
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
