@@ -74,12 +74,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_dropped, dropped): the positions of the lines that go, ascending, comma-joined."""
-    from .line_dedup import repeated_lines
+    from .line_dedup import repeated_lines, row_key
 
     documents = table(spark, sf_dir, "documents")
-    gone = repeated_lines(documents).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    some_id = F.coalesce("doc_id", F.lit(-1)).cast("long").alias("id")
+    gone = repeated_lines(documents).groupBy(some_id, "row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    rows = documents.select("doc_id", n_lines.cast("long").alias("n_lines")).join(gone, "doc_id", "left")
+    rows = documents.select("doc_id", some_id, row_key().alias("row"), n_lines.cast("long").alias("n_lines")).join(gone, ["id", "row"], "left")
     dropped = F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit(""))
     return rows.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), dropped.alias("dropped"))
 
