@@ -5,15 +5,16 @@ greedily: the longest stretch that occurs in the labelled text is a phrase, and
 after it.  Fewer phrases mean a closer language; the number of phrases times log2 of the labelled
 text's length, divided by the text's length, estimates the cross entropy in bits per character.
 
-The automata are completed to tables with a row per state and a column per symbol: an entry is the
-next state, and carries a flag if a new phrase starts.  All stretches of a batch then step through a
-table at once.  A phrase ends at the latest at the end of a stretch of ``STRETCH`` symbols, for all
-languages alike; every character of a text is parsed.
+An automaton's transitions lie in one array, each state's shifted so that none meet (row displacement),
+so its size follows the labelled text and not the alphabet.  All blocks of STRETCH symbols of a batch are
+first parsed at once, as if a phrase started at each.  Then every block is parsed again from the state
+that the block before it ends in, only until both parses start a phrase at the same place, from where
+they agree; where a block's end changes by that, the next block is parsed again.  So the result is the
+greedy parse of the whole text.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRETCH = 256
-_NEW, _PAD, _SPACE = 1 << 30, 0, 1
+_SPACE = 1
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -54,31 +55,52 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return step
 
 
-def completed(step: list[dict[int, int]], n_symbols: int):
-    """The table of the automaton; its last row is the state before a phrase."""
-    import numpy as np
+class Automaton:
+    """The transitions of a suffix automaton, packed; ``start`` has those of the start by symbol."""
 
-    fresh = len(step)
-    start = np.full(n_symbols, fresh | _NEW, np.int32)
-    for a, s in step[0].items():
-        start[a] = s | _NEW
-    table = np.tile(start, (fresh + 1, 1))
-    for state, out in enumerate(step):
-        for a, s in out.items():
-            table[state, a] = s
-    table[:, _PAD] = np.arange(fresh + 1)
-    return table
+    def __init__(self, step: list[dict[int, int]], n_symbols: int):
+        import numpy as np
+
+        self.fresh = len(step)  # the state before any phrase: it has no transitions
+        taken: dict[int, int] = {}
+        base, free, least = [0] * (len(step) + 1), n_symbols, n_symbols
+        for state in sorted(range(1, len(step)), key=lambda i: -len(step[i])):
+            if symbols := sorted(step[state]):
+                while free in taken:
+                    free += 1
+                # A single transition goes to the first free place; larger states do not look at the full part again.
+                at = begin = (free if len(symbols) == 1 else max(free, least)) - symbols[0]
+                while any(at + a in taken for a in symbols):
+                    at += 1
+                if at - begin > 64:
+                    least = at + symbols[0]
+                base[state] = at
+                for a in symbols:
+                    taken[at + a] = state << 32 | step[state][a]
+        self.base = np.array(base, np.int64)
+        self.packed = np.full(max(taken, default=0) + n_symbols + 1, -1, np.int64)
+        self.packed[list(taken)] = list(taken.values())
+        self.start = np.full(n_symbols, self.fresh, np.int64)
+        for a, s in step[0].items():
+            self.start[a] = s
+
+    def step(self, state, symbols):
+        """(the next states, whether a new phrase starts with the symbol)."""
+        import numpy as np
+
+        found = self.packed[self.base[state] + symbols]
+        new = found >> 32 != state
+        return np.where(new, self.start[symbols], found & 0xFFFFFFFF), new
 
 
 class Languages:
-    """The labelled languages: an alphabet and a table each."""
-
-    def __init__(self, samples: dict[str, list[str]], alphabet_size: int = 60):
-        letters = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-        top = sorted(letters, key=lambda c: (-letters[c], c))[:alphabet_size]
-        self.alphabet = {ord(c): i + 2 for i, c in enumerate(sorted(top))}
-        self.other = len(self.alphabet) + 2
-        self.names, self.tables, self.bits = [], [], []
+    """The labelled languages: all their letters, and an automaton each."""
+
+    def __init__(self, samples: dict[str, list[str]]):
+        letters = {ord(c) for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()}
+        self.alphabet = {c: i + 2 for i, c in enumerate(sorted(letters))}
+        self.other = len(self.alphabet) + 2  # a letter of no labelled text: a phrase of its own
+        self.names, self.automata, self.bits = [], [], []
         for name in sorted(samples):
             streams = [self.symbols(t) for t in samples[name]]
             symbols = [s for stream in streams for s in (*stream.tolist(), _SPACE)]
@@ -86,7 +108,7 @@ class Languages:
                 import numpy as np
 
                 self.names.append(name)
-                self.tables.append(completed(suffix_automaton(symbols), self.other + 1))
+                self.automata.append(Automaton(suffix_automaton(symbols), self.other + 1))
                 self.bits.append(float(np.log2(len(symbols) + 1)))
 
     def __getstate__(self):
@@ -97,7 +119,7 @@ class Languages:
         import numpy as np
 
         if not hasattr(self, "_of"):
-            of = np.full(0x110000, _SPACE, np.uint8)
+            of = np.full(0x110000, _SPACE, np.int32)
             of[[i for i in range(0x110000) if chr(i).isalpha()]] = self.other
             of[list(self.alphabet)] = list(self.alphabet.values())
             self._of = of
@@ -110,33 +132,71 @@ class Languages:
         import numpy as np
 
         sizes = np.array([len(s) for s in streams], np.int64)
-        stretches = -(-sizes // STRETCH)
-        total = int(stretches.sum())
-        grid = np.zeros((total, STRETCH), np.uint8)
-        flat, at = grid.reshape(-1), 0
-        for s, n in zip(streams, stretches.tolist()):
-            flat[at : at + len(s)] = s
-            at += n * STRETCH
-        filled = (grid != _PAD).sum(1)
+        blocks = -(-sizes // STRETCH)
+        total = int(blocks.sum())
+        out = np.zeros((len(streams), len(self.automata)), np.int64)
+        if not total:
+            return out, sizes
+        owner = np.repeat(np.arange(len(streams)), blocks)
+        first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
+        filled = np.minimum(sizes[owner] - (np.arange(total) - first[owner]) * STRETCH, STRETCH)
+        grid = np.zeros((total, STRETCH), np.int32)
+        grid[np.arange(STRETCH) < filled[:, None]] = np.concatenate(streams)
+        # Column i has the symbols at place i of all blocks, the longest first.
         order = np.argsort(-filled, kind="stable")
-        columns = np.ascontiguousarray(grid[order].T).astype(np.int32)
-        active = np.searchsorted(-filled[order], -np.arange(STRETCH), side="left")
-        owner = np.repeat(np.arange(len(streams)), stretches)[order]
-        out = np.zeros((len(streams), len(self.tables)), np.int64)
-        for k, table in enumerate(self.tables):
-            flat_table, width = table.reshape(-1), table.shape[1]
-            state = np.full(total, len(table) - 1, np.int32)
-            count = np.zeros(total, np.int32)
+        row_of = np.empty(total, np.int64)
+        row_of[order] = np.arange(total)
+        columns, filled, owner = np.ascontiguousarray(grid[order].T), filled[order], owner[order]
+        active = np.searchsorted(-filled, -np.arange(STRETCH), side="left")
+        follows = np.flatnonzero(~np.isin(np.arange(total), first[blocks > 0]))  # blocks that go on a text
+        after, before = row_of[follows], row_of[follows - 1]
+        next_of = np.full(total, -1, np.int64)
+        next_of[before] = after
+        for k, automaton in enumerate(self.automata):
+            state = np.full(total, automaton.fresh, np.int64)
+            starts = np.zeros((STRETCH, total), bool)
             for i in range(STRETCH):
                 n = active[i]
                 if not n:
                     break
-                step = flat_table[state[:n] * width + columns[i, :n]]
-                count[:n] += step >> 30
-                state[:n] = step & (_NEW - 1)
+                state[:n], starts[i, :n] = automaton.step(state[:n], columns[i, :n])
+            guess = np.cumsum(starts, axis=0, dtype=np.int32)
+            count, ends = guess[-1].astype(np.int64), state.copy()
+            rows, entry = after, state[before]
+            while len(rows):
+                ended = ends[rows].copy()
+                self._again(automaton, columns, filled, starts, guess, state, rows, entry, count, ends)
+                changed = rows[ends[rows] != ended]
+                rows = next_of[changed]
+                entry = ends[changed][rows >= 0]
+                rows = rows[rows >= 0]
             out[:, k] = np.bincount(owner, count, len(streams)).astype(np.int64)
         return out, sizes
 
+    @staticmethod
+    def _again(automaton, columns, filled, starts, guess, guessed_end, rows, entry, count, ends) -> None:
+        """Parses blocks from their true entry states; sets their numbers of phrases and their ends."""
+        import numpy as np
+
+        state, own = entry.copy(), np.zeros(len(rows), np.int64)
+        for i in range(len(columns)):
+            live = filled[rows] > i
+            if not live.all():
+                done = rows[~live]
+                count[done], ends[done] = own[~live], state[~live]
+                rows, state, own = rows[live], state[live], own[live]
+            if not len(rows):
+                return
+            state, new = automaton.step(state, columns[i, rows])
+            own += new
+            met = new & starts[i, rows]
+            if met.any():
+                same = rows[met]
+                count[same] = own[met] + guess[-1, same] - guess[i, same]
+                ends[same] = guessed_end[same]
+                rows, state, own = rows[~met], state[~met], own[~met]
+        count[rows], ends[rows] = own, state
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """(language, score) of each text: the score is the margin to the next best, 0 to 1."""
         import numpy as np
@@ -163,28 +223,29 @@ def held_out(doc_id: str, remainder: int = 0):
 
 
 def learn(
-    documents: DataFrame, sample_chars: int = 40_000, sample_documents: int = 400, excerpt_chars: int = 400, max_languages: int = 500
+    documents: DataFrame, sample_chars: int = 40_000, sample_documents: int = 200, excerpt_chars: int = 400, max_languages: int = 500
 ) -> Languages:
     """Fits the languages on labelled documents that are not held out.
 
-    The sample is bounded: about ``sample_documents`` documents of a language, chosen by a hash of
-    their doc_id, of which excerpts of ``excerpt_chars`` up to ``sample_chars`` are kept; no more than
-    the ``max_languages`` most frequent languages.  Null or empty texts and null languages teach nothing.
+    The sample is bounded: about ``sample_documents`` documents of a language, at most twice as many,
+    chosen by a hash of their doc_id, and of each one excerpt of ``excerpt_chars`` from a place that the
+    hash chooses; of these up to ``sample_chars`` are kept.  So the driver holds at most 2 *
+    sample_documents * excerpt_chars characters of a language, and no more than the ``max_languages`` most
+    frequent languages.  Null or empty texts and null languages teach nothing.
     """
-    labelled = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    labelled = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id") & (F.length("text") > 0))
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not sizes:
         return Languages({})
     mixed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     every = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(max(1, r["count"] // sample_documents)))])
-    chosen = labelled.where((mixed % every[F.col("lang")] == 0) & (F.length("text") > 0))
-    rows = chosen.select("lang", mixed.alias("h"), F.substring("text", 1, 16 * excerpt_chars).alias("text")).collect()
+    chosen = labelled.where(mixed % every[F.col("lang")] == 0)
+    start = (F.floor(mixed / 4096) % F.greatest(F.length("text") - excerpt_chars + 1, F.lit(1))).cast("int") + 1
+    rows = chosen.select("lang", mixed.alias("h"), F.col("text").substr(start, F.lit(excerpt_chars)).alias("text")).collect()
     samples: dict[str, list[str]] = {}
     held: Counter = Counter()
-    for lang, h, text in sorted(map(tuple, rows)):
-        start = h % max(1, len(text) - excerpt_chars)
-        part = text[start : start + excerpt_chars]
-        if held[lang] < sample_chars:
+    for lang, _, part in sorted(map(tuple, rows)):
+        if held[lang] < min(sample_chars, 2 * sample_documents * excerpt_chars):
             samples.setdefault(lang, []).append(part)
             held[lang] += len(part)
     return Languages(samples)
