@@ -129,10 +129,12 @@ def test_decontamination(spark, odd, sf):
 
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(100).collect()}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()} | {900: None, 901: "", 902: "two words", 903: "One!"}
-    docs |= {1000: "say TWO   words, two", 1001: None, 1002: "", 1003: items[3] + " two. words " + items[3], 1004: "one " * 5000}
+    items[None] = "an item without a name has four more words than that here"
+    docs |= {1005: "so an item without a name has four more words than that here", 1000: "say TWO   words, two", 1001: None, 1002: "", 1003: items[3] + " two. words " + items[3], 1004: "one " * 5000}
     got = {r["doc_id"]: r for r in decontaminate(frame(spark, docs.items()), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
     for i, t in docs.items():
         n, hit, found = brute.hits(t, items)
+        found = [x for x in found if x != "None"]
         r = got[i]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) == (n, hit, len(found), ",".join(found), hit > 0)
     assert got[1003]["contaminated"] and not got[1001]["contaminated"]
@@ -140,8 +142,11 @@ def test_decontamination(spark, odd, sf):
     assert decontaminate(odd, none).where("contaminated").count() == 0 and decontaminate(odd.limit(0), none).count() == 0
     near = frame(spark, [(1, "a b c d e f g h i extra j k"), (2, "a b c d e f g h i j"), (3, "a b c")])
     item = spark.createDataFrame([(7, "a b c d e f g h i j")], "item_id long, text string")
-    found = {r["doc_id"]: (r["n_items"], r["n_near_items"]) for r in decontaminate(near, item, slop=2).collect()}
-    assert found == {1: (0, 1), 2: (1, 1), 3: (0, 0)}
+    found = {r["doc_id"]: (r["n_items"], r["n_near_items"], r["near_items"]) for r in decontaminate(near, item, slop=2).collect()}
+    assert found == {1: (0, 1, "7"), 2: (1, 1, "7"), 3: (0, 0, "")}
+    twice = frame(spark, [(None, "a b c d e f g h i j"), (None, "x"), (-1, "y"), (4, "x"), (4, "x")])
+    rows = sorted(((r["doc_id"], r["n_hit"]) for r in decontaminate(twice, item).collect()), key=str)
+    assert rows == [(-1, 0), (4, 0), (4, 0), (None, 0), (None, 10)]
 
 
 def test_warc(spark):
@@ -211,6 +216,49 @@ def test_phrases_are_the_greedy_parse():
         assert found[0, k] == n
 
 
+def parsed(labelled: list[str], text: str) -> tuple[int, int]:
+    """(phrases, symbols): the longest match at every step, by searching the labelled text."""
+    plain = lambda t: re.sub(r"[\W\d_]+", " ", t.lower())
+    all_of, t = "".join(plain(x) + " " for x in labelled), plain(text)
+    at = n = 0
+    while at < len(t):
+        size = 1
+        while at + size < len(t) and t[at : at + size + 1] in all_of:
+            size += 1
+        at, n = at + size, n + 1
+    return n, len(t)
+
+
+def test_prediction_is_that_of_the_plain_parse(documents):
+    from tidelog.llm.language_id import Languages
+
+    rng = random.Random(3)
+    letters = {"a": "abcdefgh", "b": "efghijkl", "c": "abcéèöü"}
+    text = lambda s, n: "".join(rng.choice(s + " ") for _ in range(n))
+    samples = {k: [text(s, 900), text(s, 300)] for k, s in letters.items()}
+    model = Languages(samples)
+    texts = [text(s, n) for s in letters.values() for n in (1, 5, 255, 256, 257, 700, 3000)] + ["a" * 2000, samples["a"][0] * 3, "xyz" * 300, "\u65e5\u672c"]
+    for t, lang, score in zip(texts, *model.predict(texts)):
+        if not any(c.isalpha() for c in t):
+            assert lang == "und"
+            continue
+        found = {k: parsed(s, t) for k, s in samples.items()}
+        size = {k: sum(len(re.sub(r"[\W\d_]+", " ", x.lower())) + 1 for x in s) for k, s in samples.items()}
+        bits = sorted((n * math.log2(size[k] + 1) / m, k) for k, (n, m) in found.items())
+        assert lang == bits[0][1] and abs(score - (1 - bits[0][0] / bits[1][0])) < 1e-9
+
+
+def test_ten_scripts_are_told_apart():
+    from tidelog.llm.language_id import Languages
+
+    rng = random.Random(5)
+    starts = (0x61, 0x3B1, 0x430, 0x561, 0x5D0, 0x627, 0x915, 0xE01, 0x10D0, 0xAC00)
+    letters = [[chr(c) for c in range(s, s + 60) if chr(c).isalpha()][:26] for s in starts]
+    text = lambda k, n: "".join(rng.choice(letters[k] + [" "]) for _ in range(n))
+    model = Languages({f"l{k}": [text(k, 400) for _ in range(10)] for k in range(10)})
+    assert model.predict([text(k, n) for k in range(10) for n in (30, 500)])[0] == [f"l{k}" for k in range(10) for _ in range(2)]
+
+
 def test_language_id(spark, odd, sf):
     from tidelog.llm.language_id import Languages, held_out, identify, learn
 

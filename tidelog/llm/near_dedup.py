@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, prefix_pairs
+from .line_dedup import row_key
 from .shared import written
 
 RING, COORDINATES, BAND = 1 << 20, 160, 5
@@ -118,15 +119,12 @@ class Circulant:
 
 
 def sign(documents: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, bands): the class of a document is its set's two keys."""
+    """(doc_id, row, n_shingles, k1, k2, bands): the class of a document is its set's two keys."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
         import numpy as np
 
-        gc.disable()
         shingler, turn = shingler_for(shingle_words), circulant()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
@@ -139,11 +137,11 @@ def sign(documents: DataFrame, shingle_words: int) -> DataFrame:
                     bands.append(turn.bands(turn.signature(s)) if len(s) else np.zeros(0, np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands)))
-                columns = [some.column(0), pa.array(sizes, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), listed]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "k1", "k2", "bands"])
+                columns = [some.column(0), some.column(2), pa.array(sizes, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), listed]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "k1", "k2", "bands"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
+    return texts.mapInArrow(run, "doc_id long, row long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def set_key(shingles) -> tuple[int, int]:
@@ -238,11 +236,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_dedup(documents: DataFrame, shingle_words: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row per row of ``documents``.
+    """(doc_id, row, n_shingles, component_id, kept), a row per row of ``documents``.
 
     Words are cut at ASCII white space, A-Z lower-cased.  ``component_id`` is the smallest doc_id that
     links reach.  A text without words, or null, is linked with nothing; a null doc_id comes back with a
-    null component, and joins nothing.  Rows of one doc_id share a component if their sets are equal.
+    null component, and joins nothing.  Rows of one doc_id are told apart by ``row``, a key of doc_id and
+    text; each has its own component, and is kept if that is its doc_id.
     """
     signed = written(sign(documents, shingle_words), "signed")
     own = signed.where("n_shingles > 0 and doc_id is not null")
@@ -305,7 +304,7 @@ def near_dedup(documents: DataFrame, shingle_words: int = 5, percent: int = 80,
         .where("copies > 1 or component is not null")
         .select("k1", "k2", F.coalesce("component", "c").alias("component"))
     )
-    out = signed.select("doc_id", "n_shingles", "k1", "k2").join(told, ["k1", "k2"], "left")
+    out = signed.select("doc_id", "row", "n_shingles", "k1", "k2").join(told, ["k1", "k2"], "left")
     has_set = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     component = F.coalesce(F.when(has_set, F.col("component")), "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -32,10 +32,9 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import decontaminate
 
-    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
-    return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256"), "contaminated"
-    )
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, slop=2)
+    digest = F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", "n_near_items", "near_items")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +48,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents")
     found = identify(documents, learn(documents))
-    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +62,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_dedup
 
-    return near_dedup(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+    return near_dedup(table(spark, sf_dir, "documents"), shingle_words=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
