@@ -66,6 +66,28 @@ def test_pipeline(spark, sf):
     assert packed.groupby("doc_id")["length"].sum().to_dict() == sizes
 
 
+def test_stages_on_odd_rows(spark, sf):
+    """Rows of one doc_id, exact repeats, rows without doc_id, null and empty texts, and columns with clashing names."""
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    prose = " ".join(f"word{i} of some text" for i in range(30))
+    rows = [
+        (1, prose, None, "a", 5), (1, "another text altogether under the same number\nand a second line of it", "en", "a", 5),
+        (2, prose + " more", "en", "b", 5), (2, "what is said here is said nowhere else in this table", "en", "b", 5),
+        (3, item, "en", "c", 5), (3, "clean words under the number of a dirty text, quite enough of them", "en", "c", 5),
+        (None, "a text without a number stays where it is", "en", "d", 5), (4, None, "en", "d", 5), (5, "", "en", "d", 5),
+        (6, "twice the same row", "en", "e", 5), (6, "twice the same row", "en", "e", 5),
+    ]
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row long, component string, n_dropped int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+    got = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+    want = [rows[0], rows[1], rows[3], rows[5], rows[6], rows[9], rows[10]]
+    assert got == sorted(((r[0], r[1]) for r in want), key=str)
+    assert corpus_pipeline.packing_stage(spark, docs, sf).count() == 7
+
+
 def test_stages_take_nothing(spark, sf):
     import corpus_pipeline
 
