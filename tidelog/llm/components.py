@@ -2,8 +2,9 @@
 similar, by prefix filtering (DataFrame operations only).
 
 Both steps keep the components and move edges towards their smallest member, so the edges end as one
-star per component.  Each step is an aggregation to one minimum per node and a join on it; the edges
-of a node of many neighbours can be split, since only the minimum is needed with them.
+star per component.  Each step is an aggregation to one minimum per node and a join on it.  Both sides
+of that join are dealt by the node and nothing else is done in its stage, so Spark splits the edges of a
+node of many neighbours (adaptive skew join): only the minimum is needed with them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from .shared import written
 def _with_least(arcs: DataFrame) -> DataFrame:
     """(u, v, m): each arc with the least node among u and its neighbours."""
     least = arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return arcs.join(least, "u")
+    return arcs.join(written(least, "least"), "u")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -14,9 +14,10 @@ candidate if its sketches differ in at most APART coordinates; similar lines nea
 average at 0.8), unrelated ones hardly ever.
 
 Exact copies of a line are one class throughout.  Every class of a bucket is compared with the bucket's
-leader; this joins large groups.  Then all pairs of a bucket that are not joined yet are compared: in
-buckets of at most SMALL classes by their sketches, in larger ones unless prefix filtering on the 5-grams
-excludes them.  The comparison is exact, on the full 5-gram sets.  Links become components, and of a
+leader, then with three more, and so on while that joins many; so large groups are joined early.  Then all
+pairs of a bucket that are not joined yet are compared: in buckets of at most SMALL classes by their
+sketches, in larger ones unless prefix filtering on the 5-grams excludes them.  The comparison is exact,
+on the full 5-gram sets.  Links become components, and of a
 component the first line, by (doc_id, position), stays.
 """
 
@@ -108,55 +109,94 @@ def close(a: tuple[str, str], b: tuple[str, str]) -> Column:
 
 
 def similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of lines whose 5-gram sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b, ...) of lines whose 5-gram sets have 100 * intersection >= percent * union."""
     nodes = written(pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct(), "line-nodes")
     texts = written(narrow_to(lines.select("k1", "line"), nodes, ["k1"], nodes.count()).dropDuplicates(["k1"]), "line-texts")
     both = pairs.join(texts.select(F.col("k1").alias("a"), F.col("line").alias("la")), "a")
     both = both.join(texts.select(F.col("k1").alias("b"), F.col("line").alias("lb")), "b")
-    both = both.select("a", "b", grams(F.col("la")).alias("ga"), grams(F.col("lb")).alias("gb"))
-    both = both.select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("ab"))
-    links = written(both.where(F.lit(100) * F.col("ab") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("ab"))).select("a", "b"), "line-links")
+    both = both.select(*pairs.columns, grams(F.col("la")).alias("ga"), grams(F.col("lb")).alias("gb"))
+    both = both.select(*pairs.columns, F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("ab"))
+    links = written(both.where(F.lit(100) * F.col("ab") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("ab"))).select(*pairs.columns), "line-links")
     discard(nodes, texts)
     return links
 
 
-def similar_lines(lines: DataFrame, signed: DataFrame, percent: int = 80) -> DataFrame:
-    """(k1, component): the classes of lines that links join, by their keys."""
+def similar_lines(lines: DataFrame, signed: DataFrame, percent: int = 80, leaders: int = 3) -> DataFrame:
+    """(k1, component): the classes of lines that links join, by their keys.
+
+    In every round each bucket's members are compared with its ``leaders`` (one in the first round), of
+    components other than their own.  When a round no longer joins a twentieth of the components that
+    still share buckets, all pairs that are left are compared.
+    """
     rows = signed.select("k1", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     bare = written(rows.join(written(buckets, "line-buckets"), "key"), "line-members")
-    members = written(bare.join(signed.select("k1", "keys", "s1", "s2"), "k1").where(F.array_contains("keys", F.col("key"))).drop("keys"), "line-members")
+    members = bare.join(signed.select("k1", "keys", "s1", "s2"), "k1").where(F.array_contains("keys", F.col("key"))).drop("keys")
+    at = written(members.withColumn("component", F.col("k1")), "line-members")
     discard(bare)
-
-    leads = members.groupBy("key").agg(F.min("k1").alias("lead"))
-    leads = written(leads.join(members.select("key", F.col("k1").alias("lead"), F.col("s1").alias("l1"), F.col("s2").alias("l2")), ["key", "lead"]), "line-leads")
-    stars = members.join(leads, "key").where((F.col("k1") != F.col("lead")) & close(("s1", "s2"), ("l1", "l2")))
-    stars = written(stars.select(F.col("lead").alias("a"), F.col("k1").alias("b")).distinct(), "line-pairs")
-    edges = similar(stars, lines, percent)
-    joined = written(connected_components(edges), "line-components").withColumnRenamed("node", "k1")
-
-    # The members of buckets with more than one component, each with its own.
-    at = written(members.select("key", "size", "k1", "s1", "s2").join(joined, "k1", "left").withColumn("component", F.coalesce("component", "k1")), "line-placed")
-    ends = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    at = written(at.join(written(ends, "line-open"), "key"), "line-unjoined")
-    discard(members)
+    joined = tried = None
+
+    def link(pairs: DataFrame) -> int:
+        """Compares the pairs (a, b, ca, cb) not compared before, and joins their components."""
+        nonlocal joined, tried, at
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs.dropDuplicates(["a", "b"]), "line-pairs")
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        links = similar(pairs, lines, percent)
+        over = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        over = written(over.select(F.col("node").alias("old"), F.col("component").alias("new")), "line-joined")
+        if joined is None:
+            joined = over.select(F.col("old").alias("k1"), F.col("new").alias("component"))
+        else:
+            moved = joined.join(over, F.col("component") == F.col("old"), "left").select("k1", F.coalesce("new", "component").alias("component"))
+            fresh = over.join(joined.select("k1"), F.col("old") == F.col("k1"), "left_anti").select(F.col("old").alias("k1"), F.col("new").alias("component"))
+            joined = written(moved.unionByName(fresh), "line-components")
+        # Of the members, only those of buckets that still have more than one component go on.
+        before = at
+        now = at.join(over, F.col("component") == F.col("old"), "left").withColumn("component", F.coalesce("new", "component")).drop("old", "new")
+        now = written(now, "line-placed")
+        ends = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+        at = written(now.join(written(ends, "line-open"), "key"), "line-unjoined")
+        discard(before, now)
+        return over.where("old != new").count()
+
+    turn = 0
+    while True:
+        seeds = range(leaders * turn, leaders * (turn + 1)) if turn else [0]
+        order = lambda seed: F.xxhash64(F.lit(seed), "k1") if turn else F.col("k1")
+        leads = at.groupBy("key").agg(*(F.min_by(F.struct("k1", "component", "s1", "s2"), order(s)).alias(f"l{s}") for s in seeds))
+        leads = leads.select("key", F.explode(F.array_distinct(F.array(*(f"l{s}" for s in seeds)))).alias("l"))
+        leads = written(leads.select("key", F.col("l.k1").alias("lead"), F.col("l.component").alias("cl"), F.col("l.s1").alias("l1"), F.col("l.s2").alias("l2")), "line-leads")
+        meet = at.join(leads, "key").where((F.col("component") != F.col("cl")) & close(("s1", "s2"), ("l1", "l2")))
+        first = F.col("k1") < F.col("lead")
+        n = link(
+            meet.select(
+                F.least("k1", "lead").alias("a"), F.greatest("k1", "lead").alias("b"),
+                F.when(first, F.col("component")).otherwise(F.col("cl")).alias("ca"), F.when(first, F.col("cl")).otherwise(F.col("component")).alias("cb"),
+            )
+        )
+        discard(leads)
+        turn += 1
+        if n * 20 < at.select("component").distinct().count() or not n:
+            break
     x, y = (
         at.where(F.col("size") <= SMALL).select("key", F.col("k1").alias(name), F.col("component").alias(f"c{name}"), F.col("s1").alias(f"s1{name}"), F.col("s2").alias(f"s2{name}"))
         for name in ("a", "b")
     )
     y = y.withColumnRenamed("key", "other")
-    pairs = x.join(y, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close(("s1a", "s2a"), ("s1b", "s2b"))).select("a", "b")
+    pairs = x.join(y, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close(("s1a", "s2a"), ("s1b", "s2b")))
+    pairs = pairs.select("a", "b", "ca", "cb")
     large = written(at.where(F.col("size") > SMALL).select("k1", "component").distinct(), "line-large")
     if n := large.count():
         texts = narrow_to(lines.select("k1", "line"), large, ["k1"], n).dropDuplicates(["k1"])
         each = texts.select(F.col("k1").alias("c"), "component", grams(F.col("line")).alias("all"))
         each = written(each.select("c", "component", F.size("all").alias("n"), F.explode("all").alias("s")), "line-grams")
-        pairs = pairs.unionByName(prefix_pairs(each, percent))
-    pairs = written(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "line-pairs")
-    if pairs.isEmpty():
-        return joined
-    edges = written(edges.unionByName(similar(pairs, lines, percent)), "line-links")
-    return written(connected_components(edges), "line-components").withColumnRenamed("node", "k1")
+        found = prefix_pairs(each, percent)
+        found = found.join(large.select(F.col("k1").alias("a"), F.col("component").alias("ca")), "a").join(large.select(F.col("k1").alias("b"), F.col("component").alias("cb")), "b")
+        pairs = pairs.unionByName(found.select("a", "b", "ca", "cb"))
+    link(pairs)
+    return joined
 
 
 def repeated_lines(documents: DataFrame, percent: int = 80, fuzzy: bool = True) -> DataFrame:
