@@ -28,7 +28,8 @@ def test_append_compact_retain(spark, tmp_path):
     assert store.read().count() == 15 and store.live().count() == 2
     assert store.read(DAY, 2 * DAY).count() == 5
     assert "PartitionFilters: [" in store.read(DAY, 2 * DAY)._jdf.queryExecution().executedPlan().toString()
-    assert store.retain(now_us=10 * DAY, days=7) != [] and store.read().count() == 5
+    assert store.retain(now_us=2 * DAY, days=1) == []  # the oldest set's last record is of the second day
+    assert store.retain(now_us=9 * DAY, days=7) != [] and store.read().count() == 5
     assert store.vacuum() != [] and store.read().count() == 5
     assert [(r["stream_id"], r["labels"]) for r in store.streams().collect()] == [(0, {"app": "k"})]
     assert store.next_sequence() == 15 and store.bytes() > 0

@@ -14,9 +14,9 @@ from ..schema import SERIES_KEY
 def check_range(start: int | None, end: int | None) -> None:
     """The same complaints for every kind of range, before any plan is built."""
     if start is not None and end is not None and start > end:
-        raise ValueError("end_ts cannot be smaller than start_ts")
+        raise ValueError(f"the range ends ({end}) before it begins ({start})")
     if start is not None and start < 0:
-        raise ValueError("start_ts cannot be negative")
+        raise ValueError(f"a range begins at 0 or later, not at {start}")
 
 
 def in_time(start: int | None, end: int | None, closed: bool = False, ts: str = "ts", raw: str | None = None) -> Column:
@@ -125,6 +125,11 @@ def assign_sequence(batch: DataFrame, order: str, start: int = 0, name: str = "s
 
 
 def tail(logs: DataFrame, window_us: int) -> DataFrame:
-    """Records of the last ``window_us`` before the newest one, per series (W13): [newest - window, newest), from 0 on."""
-    newest = logs.agg(F.max("ts").alias("_now"))  # one row
-    return logs.crossJoin(F.broadcast(newest)).where((F.col("ts") >= F.greatest(F.col("_now") - window_us, F.lit(0))) & (F.col("ts") < F.col("_now"))).drop("_now")
+    """Records of the last ``window_us`` before the newest one of all (W13): [newest - window, newest), from 0 on.
+
+    The newest time is looked up first, so that the bounds are literals and reach the scan.
+    """
+    newest = logs.agg(F.max("ts")).first()[0]
+    if newest is None:
+        return logs.limit(0)
+    return logs.where((F.col("ts") >= max(newest - window_us, 0)) & (F.col("ts") < newest))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import compare, metrics, series, streams, validation
-from ..sources import adapters, frames
-from ..sources.store import LogStore, fold_changes, merge_snapshots
+from ..sources import adapters, frames, journal, sorted_files
+from ..sources.store import LogStore, file_stats, fold_changes, merge_snapshots, oldest_sets
 from ..streaming import ingest as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,9 +42,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _work_folder(spark: SparkSession, label: str) -> str:
-    """A folder all executors see: in the cluster's shared one if it names one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}" if shared else os.path.join(tempfile.mkdtemp(prefix="tidelog-"), label)
+    """A folder all executors see, in the cluster's shared one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def _rounded(name: str):
@@ -261,12 +261,12 @@ def st_compaction_pick(spark, sf_dir):
     """The oldest four sets that are not being compacted."""
     days = _events(spark, sf_dir).groupBy(C.day_of("ts").alias("set_id")).agg(F.count(F.lit(1)).alias("n"))
     busy = spark.createDataFrame([("2024-01-02",), ("2024-01-04",)], "set_id string")
-    return days.join(busy, "set_id", "left_anti").orderBy("set_id").limit(4)
+    return oldest_sets(days, 4, busy)
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, min(epoch_us(ts)) AS min_ts, max(epoch_us(ts)) AS max_ts, count(*) AS n FROM events GROUP BY 1")
 def st_file_stats(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy(C.day_of("ts").alias("day")).agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count(F.lit(1)).alias("n"))
+    return file_stats(_events(spark, sf_dir), C.day_of("ts").alias("day")).drop("max_seq")
 
 
 @query("""WITH r AS (SELECT user_id, strlen(props) + 48 AS size, coalesce(sum(strlen(props) + 48) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events)
@@ -341,11 +341,12 @@ _RUN_FIELDS = (
     + [(f"insert_latency {m}", s, "lower") for m, s in _MARKS.items()]
     + [(f"range_latency {m}", s.replace("us", "CASE WHEN value > 50 THEN us END"), "lower") for m, s in _MARKS.items()]
 )
-_LONG_RUNS = " UNION ALL ".join(
-    f"SELECT workload, concurrency, '{n}' AS field, '{w}' AS way, ({s})::DOUBLE AS v, first FROM e GROUP BY workload, concurrency, first" for n, s, w in _RUN_FIELDS
-)
+_GROUPED = ", ".join(f"({s})::DOUBLE" for _, s, _ in _RUN_FIELDS)
+_NAMES = ", ".join(f"'{n}'" for n, _, _ in _RUN_FIELDS)
+_WAYS = ", ".join(f"'{w}'" for _, _, w in _RUN_FIELDS)
 _COMPARE = f"""e AS (SELECT {_CASE} AS workload, user_id % 4 + 1 AS concurrency, {_LAT} AS us, value, ts, epoch_us(ts) < {JAN_5 + 11 * DAY} AS first FROM events),
-    long AS ({_LONG_RUNS}),
+    wide AS MATERIALIZED (SELECT workload, concurrency, first, [{_GROUPED}] AS vs FROM e GROUP BY workload, concurrency, first),
+    long AS MATERIALIZED (SELECT workload, concurrency, first, unnest([{_NAMES}]) AS field, unnest([{_WAYS}]) AS way, unnest(vs) AS v FROM wide),
     cmp AS (SELECT b.workload, b.concurrency, b.field, b.way, b.v AS prev, t.v AS new FROM long b JOIN long t ON b.workload = t.workload AND b.concurrency = t.concurrency AND b.field = t.field WHERE b.first AND NOT t.first),
     pct AS (SELECT *, CASE WHEN prev <> 0 THEN (new - prev) / abs(prev) * 100 WHEN new = prev THEN 0.0 END AS p FROM cmp)"""
 
@@ -387,38 +388,37 @@ def m_regression_tol(spark, sf_dir):
     return rows.select("workload", "concurrency", "metric", F.round("delta_pct", 6).alias("delta_pct"), C.regressed_beyond("metric", "prev", "new", 3.0).alias("regressed"))
 
 
-@query(f"""WITH {_COMPARE} SELECT workload, concurrency, field, goal, CASE way WHEN 'higher' THEN new >= goal WHEN 'lower' THEN new <= goal ELSE true END AS met
+@query(f"""WITH {_COMPARE} SELECT workload, concurrency, field, goal::DOUBLE AS goal, CASE way WHEN 'higher' THEN new >= goal WHEN 'lower' THEN new <= goal ELSE true END AS met
     FROM pct LEFT JOIN (VALUES ('write', 'inserts/s', 0.0001), ('read', 'insert_latency p99', 300000.0), ('bulk', 'SSTs', 3.0)) g(scope, metric, goal) ON workload = scope AND field = metric""")
 def m_goals(spark, sf_dir):
     goals = spark.createDataFrame([("write", "inserts/s", 0.0001), ("read", "insert_latency p99", 300000.0), ("bulk", "SSTs", 3.0)], "scope string, metric string, goal double")
     return compare.with_goals(_compared(spark, sf_dir), goals).select("workload", "concurrency", "field", "goal", "met")
 
 
-def _memory(spark, sf_dir, user: int = 3):
-    e = _events(spark, sf_dir).where(F.col("source_id") == user)
-    return e.select("source_id", ((F.col("ts") - 1_704_067_200_000_000) / F.lit(1e6)).alias("elapsed_secs"), (F.col("measure") * 100).cast("long").alias("rss_kb"))
+def _memory(spark, sf_dir):
+    return _events(spark, sf_dir).select("source_id", ((F.col("ts") - 1_704_067_200_000_000) / F.lit(1e6)).alias("elapsed_secs"), (F.col("measure") * 100).cast("long").alias("rss_kb"))
 
 
-_MEM = "SELECT user_id AS source_id, (epoch_us(ts) - 1704067200000000) / 1e6 AS t, trunc(value * 100)::BIGINT AS rss FROM events WHERE user_id = 3"
+_MEM = "SELECT user_id AS source_id, (epoch_us(ts) - 1704067200000000) / 1e6 AS t, trunc(value * 100)::BIGINT AS rss FROM events"
 
 
-@query(f"""SELECT min(rss) AS rss_min, max(rss) AS rss_max, (sum(rss) // count(*))::BIGINT AS rss_avg, sum(rss)::BIGINT AS rss_sum, arg_max(rss, t) AS rss_last,
-    round((arg_max(rss, t) - arg_min(rss, t)) / (max(t) - min(t)), 9) AS growth, count(*) AS n FROM ({_MEM})""")
+@query(f"""SELECT source_id, min(rss) AS rss_min, max(rss) AS rss_max, (sum(rss) // count(*))::BIGINT AS rss_avg, sum(rss)::BIGINT AS rss_sum, arg_max(rss, t) AS rss_last,
+    CASE WHEN max(t) > min(t) THEN round((arg_max(rss, t) - arg_min(rss, t)) / (max(t) - min(t)), 9) ELSE 0.0 END AS growth, count(*) AS n FROM ({_MEM}) GROUP BY 1""")
 def m_mem_report(spark, sf_dir):
-    return metrics.memory_report(_memory(spark, sf_dir)).withColumn("growth", F.round("growth", 9))
+    return metrics.memory_report(_memory(spark, sf_dir), ["source_id"]).withColumn("growth", F.round("growth", 9))
 
 
-@query(f"""WITH m AS (SELECT *, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS c FROM ({_MEM}))
-    SELECT i, round(t, 6) AS t, rss AS v FROM m WHERE i % greatest(1, c // 20) = 0 OR i = c - 1""")
+@query(f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY source_id) AS c FROM ({_MEM}))
+    SELECT source_id, i, round(t, 6) AS t, rss AS v FROM m WHERE i % greatest(1, c // 20) = 0 OR i = c - 1""")
 def m_downsample(spark, sf_dir):
     found = metrics.downsample(_memory(spark, sf_dir), "elapsed_secs", ["source_id"])
-    return found.select("i", F.round("elapsed_secs", 6).alias("t"), F.col("rss_kb").alias("v"))
+    return found.select("source_id", "i", F.round("elapsed_secs", 6).alias("t"), F.col("rss_kb").alias("v"))
 
 
-@query(f"SELECT round(t, 6) AS t, rss - coalesce(lag(rss) OVER (ORDER BY t), rss) AS delta FROM ({_MEM})")
+@query(f"SELECT source_id, round(t, 6) AS t, rss - coalesce(lag(rss) OVER (PARTITION BY source_id ORDER BY t), rss) AS delta FROM ({_MEM})")
 def m_run_delta(spark, sf_dir):
     found = metrics.run_delta(_memory(spark, sf_dir), "elapsed_secs", ["source_id"], "rss_kb")
-    return found.select(F.round("elapsed_secs", 6).alias("t"), "delta")
+    return found.select("source_id", F.round("elapsed_secs", 6).alias("t"), "delta")
 
 
 @query("""WITH a AS (SELECT event_id AS id, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type = 'click'), b AS (SELECT event_id AS m, epoch_us(ts) / 1e6 AS u FROM events WHERE event_type = 'view')
@@ -473,9 +473,9 @@ def f_human(spark, sf_dir):
     return rows.select("v", C.count_text("v").alias("count_txt"), C.latency_text("v").alias("latency_txt"), C.size_text("v").alias("size_txt"))
 
 
-@query("SELECT event_id AS seq, 'source=' || user_id || ', ts=' || epoch_us(ts) || ', seq=' || event_id || ': key=' || event_type || ' value=' || props AS txt FROM events WHERE user_id < 5")
+@query("SELECT event_id AS seq, 'source=' || user_id || ', ts=' || epoch_us(ts) || ', seq=' || event_id || ': key=' || event_type || ' value=' || props AS txt FROM events")
 def f_record_text(spark, sf_dir):
-    return _events(spark, sf_dir).where("source_id < 5").select("seq", C.text_record().alias("txt"))
+    return _events(spark, sf_dir).select("seq", C.text_record().alias("txt"))
 
 
 @query("""SELECT n, greatest(ceil(-n * ln(0.01) / (ln(2) * ln(2))), 1)::BIGINT AS bits, greatest(floor(greatest(ceil(-n * ln(0.01) / (ln(2) * ln(2))), 1) / n * ln(2)), 1)::BIGINT AS hashes
@@ -498,12 +498,9 @@ def _canonical(spark, sf_dir):
     return _events(spark, sf_dir).select("source_id", "ts", "seq", "key", "value", "labels")
 
 
-@query(f"WITH {_LOGS} SELECT source_id, ts, seq, key, value, labels_txt FROM logs WHERE seq < 2000")
+@query(f"WITH {_LOGS} SELECT source_id, ts, seq, key, value, labels_txt FROM logs")
 def stream_append_replay(spark, sf_dir):
-    """Slices of all events go through a stream into the store, twice; each record is there once.
-
-    The records that the SQL lists are returned.
-    """
+    """Slices of all events go through a stream into the store, twice; each record is there once."""
     root = _work_folder(spark, "stream")
     rows = _canonical(spark, sf_dir)
     schema = rows.schema
@@ -512,7 +509,7 @@ def stream_append_replay(spark, sf_dir):
     for turn in (1, 2):  # the second run is a replay under a new checkpoint
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 8).parquet(f"{root}/in1")
         streaming.ingest(stream, store, f"{root}/checkpoint-{turn}").awaitTermination()
-    found = streams.attach_labels(store.read().drop("labels"), store.streams()).where("seq < 2000")
+    found = streams.attach_labels(store.read().drop("labels"), store.streams())
     return found.select("source_id", "ts", "seq", "key", "value", C.labels_text("labels").alias("labels_txt"))
 
 
@@ -554,3 +551,91 @@ def codec_roundtrip(spark, sf_dir):
     rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
     found = frames.read_frames(spark, folder)
     return found.select("source_id", "ts", F.col("seq").cast("long").alias("seq"), "key", "value")
+
+
+
+@query(f"WITH {_LOGS} SELECT source_id, ts, seq, key, value FROM logs")
+def journal_recover(spark, sf_dir):
+    """All events as record frames in journals, a third of them in two, one journal torn; recovered once each."""
+    folder = _work_folder(spark, "journals")
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        place, at = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        place.create_dir(at, recursive=True)
+        part, n, torn = TaskContext.get().partitionId(), 0, b""
+        with place.open_output_stream(f"{at}/.{part}-{TaskContext.get().taskAttemptId()}") as out:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    torn = frames.encode(frames.RECORD, row)
+                    out.write(torn)
+                    n += 1
+            out.write(torn[:-1])
+        place.move(f"{at}/.{part}-{TaskContext.get().taskAttemptId()}", f"{at}/inactive-{part:06d}.log")
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    rows = _canonical(spark, sf_dir).drop("labels")
+    again = rows.where("seq % 3 = 0")
+    rows.unionByName(again).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return journal.recover_series(spark, folder)
+
+
+@query(f"""WITH {_LOGS}, {_REGISTRY} SELECT stream_id, ts, seq, source_id, value FROM logs JOIN registry USING (labels_txt)
+    WHERE stream_id IN (1, 4, 7) AND ts BETWEEN {JAN_5} AND {JAN_19}""")
+def sorted_files_streams(spark, sf_dir):
+    """All events as sorted record files; of three streams the records of two weeks, by filter and sparse index."""
+    logs = _events(spark, sf_dir)
+    placed = streams.resolve_streams(logs, streams.build_registry(logs))
+    manifest = sorted_files.write_sorted_files(placed.withColumnRenamed("value", "payload"), _work_folder(spark, "sorted"))
+    found = sorted_files.read_sorted_files(manifest, [1, 4, 7], JAN_5, JAN_19)
+    return found.select("stream_id", "ts", "seq", "source_id", F.col("payload").cast("string").alias("value"))
+
+
+@query(f"WITH {_LOGS}, limits AS (SELECT max(ts) - 7 * {DAY} AS lim FROM logs) SELECT source_id, ts, seq, key, value FROM logs, limits WHERE ts >= lim")
+def store_retain(spark, sf_dir):
+    """A set per week, compacted in part, then retention by age, and the rows of a week that are left."""
+    store = LogStore(spark, _work_folder(spark, "retain"))
+    logs = _events(spark, sf_dir)
+    placed = streams.resolve_streams(logs, streams.build_registry(logs)).drop("at", "measure")
+    newest = placed.agg(F.max("ts")).first()[0]
+    store.append(placed.where(F.col("ts") < newest - 7 * DAY))
+    store.append(placed.where(F.col("ts") >= newest - 7 * DAY))
+    store.retain(newest, 7)
+    store.vacuum()
+    return store.read().select("source_id", "ts", "seq", "key", "value")
+
+
+@query(f"""WITH r AS (SELECT workload, concurrency, n / nullif(seconds, 0) AS t, n FROM ({_RATES})),
+    s AS (SELECT workload, max(t) AS thr, arg_max(concurrency, struct_pack(t := t, c := -concurrency)) AS peak FROM r GROUP BY 1)
+    SELECT 'sat_' || lower(workload) || '_' || field AS field, round(v + 1e-9, 6) AS prev, round(w + 1e-9, 6) AS new, round(w - v + 1e-9, 6) AS delta
+    FROM (SELECT workload, 'throughput' AS field, thr AS v, thr * 2 AS w FROM s UNION ALL SELECT workload, 'conc_peak', peak::DOUBLE, peak::DOUBLE FROM s)""")
+def m_saturation_compare(spark, sf_dir):
+    """Saturation against that of a run twice as fast."""
+    base = metrics.saturation(_rates(spark, sf_dir))
+    found = compare.compare_saturation(base, base.withColumn("max_throughput", F.col("max_throughput") * 2))
+    return found.select("field", *(_rounded(c) for c in ("prev", "new", "delta")))
+
+
+@query("""WITH m AS (SELECT trunc(value * 100)::BIGINT AS rss, ts < TIMESTAMP '2024-01-16' AS first FROM events),
+    r AS (SELECT first, min(rss) AS mem_rss_min_kb, max(rss) AS mem_rss_max_kb, sum(rss) // count(*) AS mem_rss_avg_kb, sum(rss) AS mem_rss_sum_kb, count(*) AS mem_sample_size FROM m GROUP BY 1),
+    t AS (SELECT first, unnest(['mem_rss_min_kb', 'mem_rss_max_kb', 'mem_rss_avg_kb', 'mem_rss_sum_kb', 'mem_sample_size']) AS field,
+        unnest([mem_rss_min_kb::DOUBLE, mem_rss_max_kb::DOUBLE, mem_rss_avg_kb::DOUBLE, mem_rss_sum_kb::DOUBLE, mem_sample_size::DOUBLE]) AS v FROM r)
+    SELECT a.field, a.v AS prev, b.v AS new, b.v - a.v AS delta FROM t a JOIN t b ON a.field = b.field WHERE a.first AND NOT b.first""")
+def m_memory_compare(spark, sf_dir):
+    """Memory reports of the two halves of a month."""
+    m, half = _memory(spark, sf_dir), (JAN_5 + 11 * DAY - 1_704_067_200_000_000) / 1e6
+    found = compare.compare_memory(metrics.memory_report(m.where(F.col("elapsed_secs") < half)), metrics.memory_report(m.where(F.col("elapsed_secs") >= half)))
+    return found.where(~F.col("field").isin("mem_rss_end_kb", "mem_growth_kbs")).select("field", "prev", "new", "delta")
+
+
+@query(f"""WITH {_COMPARE}, g(scope, metric, goal) AS (VALUES ('write', 'inserts/s', 0.0001), ('read', 'insert_latency p99', 300000.0))
+    SELECT workload, concurrency, field, goal::DOUBLE AS goal, CASE way WHEN 'higher' THEN new >= goal ELSE new <= goal END AS met FROM pct JOIN g ON workload = scope AND field = metric""")
+def m_goals_of_a_file(spark, sf_dir):
+    """Goals as a file states them, and whether they are met."""
+    from ..sources import runs
+
+    text = '[write]\n"inserts/s" = 0.0001\n[read]\n"insert_latency p99" = 300000\n'
+    return compare.with_goals(_compared(spark, sf_dir), runs.goals(spark, text)).where("goal is not null").select("workload", "concurrency", "field", "goal", "met")

@@ -47,6 +47,7 @@ class Settings:
     max_files: int = 8
     compaction_factor: int = 8
     retention_days: int | None = None
+    snapshot_every: int = 64
     strict_labels: bool = True
 
     @property

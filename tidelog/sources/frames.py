@@ -201,7 +201,7 @@ class FrameSource(DataSource):
 
 class _FrameReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.skip = options["path"], options.get("broken", "fail") == "skip"
 
     def partitions(self):
         from pyarrow import fs
@@ -218,8 +218,16 @@ class _FrameReader(DataSourceReader):
         place = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
         with place.open_input_file(partition.path) as f:
             data = f.read()
-        pos = 0
-        for kind, row in decode(data):
+        pos, messages = 0, decode(data)
+        while True:
+            try:
+                kind, row = next(messages)
+            except StopIteration:
+                return
+            except FrameError:
+                if self.skip:
+                    return
+                raise
             for r in row.get("records", [row]):
                 seq = Decimal(r["seq"]) if "seq" in r else None
                 yield (
@@ -229,6 +237,7 @@ class _FrameReader(DataSourceReader):
                 pos += 1
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, broken: str = "fail") -> DataFrame:
+    """``broken``: "fail", or "skip" to leave out a file from where it cannot be read."""
     spark.dataSource.register(FrameSource)
-    return spark.read.format("tideframes").load(path)
+    return spark.read.format("tideframes").option("broken", broken).load(path)

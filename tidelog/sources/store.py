@@ -1,7 +1,8 @@
 """The log store: immutable sets of day-partitioned, sorted Parquet files and an append-only change log.
 
     <root>/sets/set=<20 digits>/day=YYYY-MM-DD/*.parquet
-    <root>/changes/<20 digits>/*.json      one change each: flush, compaction, retention or stream update
+    <root>/changes/<20 digits>.json        one commit each: flush, compaction, retention or stream updates
+    <root>/snapshots/<20 digits>/*.json    the changes up to that commit, folded
 
 A set counts once its change is there, and until a later change removes it; readers fold the change
 log once per query, so they see a consistent state while writers go on.  Changes have consecutive
@@ -10,6 +11,8 @@ numbers, and a number can be taken only once.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,18 @@ def fold_streams(changes: DataFrame) -> DataFrame:
     return updates.groupBy("stream_id").agg(F.max_by("labels", "op_seq").alias("labels"))
 
 
+def oldest_sets(sets: DataFrame, n: int, busy: DataFrame | None = None) -> DataFrame:
+    """The ``n`` sets of the smallest set_id that are not being compacted."""
+    free = sets if busy is None else sets.join(busy.select("set_id"), "set_id", "left_anti")
+    return free.orderBy("set_id").limit(n)
+
+
+def file_stats(rows: DataFrame, *by) -> DataFrame:
+    """(…, min_ts, max_ts, n, max_seq): first and last key, number of records and highest number."""
+    said = (F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("max_seq"))
+    return rows.groupBy(*by).agg(*said)
+
+
 class LogStore:
     """A store under ``root``; one writer at a time, any number of readers."""
 
@@ -64,16 +79,46 @@ class LogStore:
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
     def changes(self) -> DataFrame:
-        if not self._names("changes"):
+        """The last snapshot and the changes after it, as change rows."""
+        last, paths = self._snapshot()
+        paths = [*paths, *(f"{self.root}/changes/{n}" for n in self._names("changes") if int(n.partition(".")[0]) > last)]
+        if not paths:
             return self.spark.createDataFrame([], CHANGE_SCHEMA)
-        return self.spark.read.schema(CHANGE_SCHEMA).option("recursiveFileLookup", True).json(f"{self.root}/changes")
+        return self.spark.read.schema(CHANGE_SCHEMA).json(paths)
+
+    def _snapshot(self) -> tuple[int, list[str]]:
+        """(number, paths) of the last whole snapshot; -1 if there is none."""
+        for name in reversed(self._names("snapshots")):
+            if "_SUCCESS" in self._names(f"snapshots/{name}"):
+                return int(name), [f"{self.root}/snapshots/{name}"]
+        return -1, []
 
     def _commit(self, rows: list[dict]) -> None:
-        """Appends changes under the next number; fails if another writer has taken it."""
+        """Appends changes under the next number; fails if another writer has taken it.
+
+        The file is created only if it is not there, which the file system decides for one writer.
+        """
         taken = self._names("changes")
-        number = int(taken[-1]) + 1 if taken else 0
-        full = [{f.split()[0]: None for f in CHANGE_SCHEMA.split(", ")} | r | {"op_seq": number * 1_000_000 + i} for i, r in enumerate(rows)]
-        self.spark.createDataFrame(full, CHANGE_SCHEMA).coalesce(1).write.mode("errorifexists").json(f"{self.root}/changes/{number:020d}")
+        number = int(taken[-1].partition(".")[0]) + 1 if taken else 0
+        lines = [json.dumps(r | {"op_seq": number * 1_000_000 + i}) for i, r in enumerate(rows)]
+        path, fs = self._path(f"changes/{number:020d}.json")
+        out = fs.create(path, False)
+        out.write(("\n".join(lines) + "\n").encode())
+        out.close()
+        if number - self._snapshot()[0] >= self.settings.snapshot_every:
+            self.snapshot(number)
+
+    def snapshot(self, number: int) -> None:
+        """Folds the changes up to a commit: a row per live set and per stream, and the highest sequence number."""
+        changes = self.changes().where(F.col("op_seq") < (number + 1) * 1_000_000)
+        names = [f.split()[0] for f in CHANGE_SCHEMA.split(", ")]
+        full = lambda df: df.select(*(F.col(n) if n in df.columns else F.lit(None).alias(n) for n in names))
+        live = changes.join(fold_changes(changes).where("state = 'live'").select("set_id"), "set_id").where("kind != 'stream'").withColumn("removed", F.lit(None))
+        last = changes.groupBy("stream_id").agg(F.max("op_seq").alias("op_seq")).where("stream_id is not null")
+        streams = changes.where("kind = 'stream'").join(last, ["stream_id", "op_seq"])
+        mark = changes.agg(F.max("max_seq").alias("max_seq"), F.max("op_seq").alias("op_seq")).withColumn("kind", F.lit("mark"))
+        out = full(live).unionByName(full(streams)).unionByName(full(mark))
+        out.select(*(F.col(f.split()[0]).cast(f.split(" ", 1)[1]) for f in CHANGE_SCHEMA.split(", "))).coalesce(1).write.mode("overwrite").json(f"{self.root}/snapshots/{number:020d}")
 
     def live(self) -> DataFrame:
         return fold_changes(self.changes()).where("state = 'live'")
@@ -85,8 +130,9 @@ class LogStore:
     def _write(self, rows: DataFrame, number: int) -> dict:
         """A set: a few sorted files per day, with Bloom filters on the series and stream columns."""
         out = rows.withColumn("day", day_of("ts")).select(*(f.split()[0] for f in ROW_SCHEMA.split(", ")))
+        # By day and series, in as many ranges as adaptive execution makes of the bytes; a busy series is split by time.
         (
-            out.repartition("day", F.pmod(F.xxhash64("source_id", "key"), F.lit(4)))
+            out.repartitionByRange("day", "source_id", "key", "ts", "seq")
             .sortWithinPartitions("day", "source_id", "key", "ts", "seq")
             .write.partitionBy("day")
             .option("parquet.bloom.filter.enabled#source_id", "true")
@@ -96,7 +142,7 @@ class LogStore:
             .parquet(f"{self.root}/sets/set={number:020d}")
         )
         back = self.spark.read.schema(ROW_SCHEMA).parquet(f"{self.root}/sets/set={number:020d}")
-        return back.agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("max_seq")).first().asDict()
+        return file_stats(back).first().asDict()
 
     # ---- writing
 
@@ -113,17 +159,19 @@ class LogStore:
 
         The need: all live sets together reach the settings' size, and there are two at least.
         """
-        live = [r["set_id"] for r in self.live().select("set_id").orderBy("set_id").collect()]  # a row per set
-        if len(live) < 2 or not (force or self.bytes() >= self.settings.compaction_bytes):
+        oldest = [r["set_id"] for r in oldest_sets(self.live(), self.settings.compaction_inputs).collect()]
+        if len(oldest) < 2 or not (force or self.bytes() >= self.settings.compaction_bytes):
             return None
-        oldest = live[: self.settings.compaction_inputs]
         number = self._next_set()
         said = self._write(self._rows(oldest).dropDuplicates(list(SERIES_KEY)), number)
         self._commit([{"kind": "compaction", "set_id": number, "removed": oldest, **said}])
         return number
 
     def retain(self, now_us: int, days: int | None = None) -> list[int]:
-        """Removes the sets whose newest record is older than ``days`` (U8); returns them."""
+        """Removes the sets whose newest record is older than ``days`` (U8); returns them.
+
+        A set goes as a whole: one that compaction made of many days goes with its youngest row.
+        """
         days = self.settings.retention_days if days is None else days
         if days is None:
             return []

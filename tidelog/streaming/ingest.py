@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.series import assign_sequence
 from ..operators.streams import build_registry, resolve_streams
 from ..operators.validation import split_valid
-from ..schema import SERIES_KEY
+from ..schema import SERIES_KEY, Settings
 from ..sources.store import LogStore
 
 
@@ -29,7 +30,7 @@ def append_batch(store: LogStore, batch: DataFrame, arrival: str = "seq", keep_s
     good, bad = split_valid(batch)
     if quarantine is not None:
         quarantine(bad)
-    good = good.persist()
+    good, registry = good.persist(), None
     try:
         if keep_sequence:
             good = good.dropDuplicates(list(SERIES_KEY))
@@ -53,6 +54,8 @@ def append_batch(store: LogStore, batch: DataFrame, arrival: str = "seq", keep_s
         return n
     finally:
         good.unpersist()
+        if registry is not None:
+            registry.unpersist()
 
 
 def ingest(stream: DataFrame, store: LogStore, checkpoint: str, available_now: bool = True, **options) -> StreamingQuery:
@@ -66,6 +69,12 @@ def ingest(stream: DataFrame, store: LogStore, checkpoint: str, available_now: b
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 
+def bounded_stream(spark: SparkSession, schema: StructType, folder: str, settings: Settings) -> DataFrame:
+    """A stream of Parquet log files whose micro-batches hold at most the settings' memory (T6, T14): what is
+    beyond waits in the folder, as a batch is one set of the store."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", f"{settings.memory_mb}m").parquet(folder)
+
+
 def freeze_windows(rows: DataFrame, limit_bytes: int, by: str, order: str, size: str) -> DataFrame:
     """Rows with the number of the size window they fall in (T6): running bytes before the row, in units of the limit.
 
