@@ -1,9 +1,10 @@
 """Personal data: patterns with checks, and a linear-chain conditional random field that adds spans.
 
 The field labels words; its features are word shapes of a word and its neighbours.  It is trained on
-the small table ``LABELLED`` below and decoded by Viterbi over all stretches of a batch at once.  A
-stretch is the words within ``REACH`` of a word that has a digit or an @; words farther away are O by
-the model's definition.  Spans of the patterns stay as they are; the field adds those that overlap none.
+the small table ``LABELLED`` below and decoded by Viterbi over all words: a line is a sequence, and all
+lines of a batch are decoded in step.  What a word's own features weigh is worked out once per distinct
+word, and that of two neighbours' shapes once per pair.  Spans of the patterns stay as they are; the field
+adds those that overlap none.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-REACH = 3
 _BUCKETS = 4096
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -127,21 +127,153 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(word: str) -> str:
     """Digits to 9, letters to a or A, runs of letters and of more than four digits shortened."""
-    flat = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word[:64]))
-    return re.sub(r"9{5,}", lambda m: "9" * 5 + ("+" if len(m[0]) > 9 else ""), re.sub(r"([aA])\1+", r"\1", flat))[:24]
+    flat = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", word))
+    return re.sub(r"9{5,}", lambda m: "9" * 5 + ("+" if len(m[0]) > 9 else ""), re.sub(r"([aA])\1+", r"\1", flat))
+
+
+def _plain(word: str) -> str:
+    return word.lower().strip(".,;:!?\"'()")
+
+
+def _own(word: str) -> tuple[str, ...]:
+    """Features of a word alone, beside its shape."""
+    d = _digits(word)
+    at = "@" in word and len(word) > 2 and not word.startswith("@")
+    return (
+        f"d={min(len(d), 20)}", f"@={at}", f"dots={min(word.count('.'), 4)}", "bias",
+        f"c={'x' if 12 <= len(d) <= 19 and luhn(d) else ''}", f"hex={bool(d) and any(c in 'abcdef' for c in word)}",
+    )
+
+
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % _BUCKETS
 
 
 def features(words: list[str]) -> list[list[int]]:
     """Hashed features per word: its own shape, size and marks, and its neighbours' shapes and words."""
-    plain = ["<s>", *(w.lower().strip(".,;:!?\"'()") for w in words), "</s>"]
-    shapes = ["<s>", *map(shape, words), "</s>"]
+    plain, shapes = ["<s>", *map(_plain, words), "</s>"], ["<s>", *map(shape, words), "</s>"]
     out = []
     for i, w in enumerate(words, 1):
-        d = _digits(w)
-        own = [f"s={shapes[i]}", f"d={min(len(d), 20)}", f"@={'@' in w and len(w) > 2 and not w.startswith('@')}", f"dots={min(w.count('.'), 4)}", "bias"]
-        own += [f"c={'x' if 12 <= len(d) <= 19 and luhn(d) else ''}", f"hex={bool(d) and any(c in 'abcdef' for c in w)}"]
-        own += [f"p={shapes[i - 1]}", f"n={shapes[i + 1]}", f"pw={plain[i - 1]}", f"ps={shapes[i - 1]}|{shapes[i]}", f"sn={shapes[i]}|{shapes[i + 1]}"]
-        out.append([zlib.crc32(x.encode()) % _BUCKETS for x in own])
+        near = [f"p={shapes[i - 1]}", f"n={shapes[i + 1]}", f"pw={plain[i - 1]}", f"ps={shapes[i - 1]}|{shapes[i]}", f"sn={shapes[i]}|{shapes[i + 1]}"]
+        out.append([_bucket(x) for x in (f"s={shapes[i]}", *_own(w), *near)])
+    return out
+
+
+class Weights:
+    """What the features of words weigh for each label, worked out once per distinct word, shape and pair of shapes.
+
+    ``lines(words)`` are the emission scores of all words of all lines; at most ``remember`` words are kept.
+    """
+
+    def __init__(self, emit, remember: int = 200_000):
+        import numpy as np
+
+        self._emit, self._most = np.asarray(emit, np.float64), remember
+        self._forget()
+
+    def _forget(self) -> None:
+        self._word: dict[str, int] = {}
+        self._shape_of, self._own_of, self._plain_of = [], [], []
+        self._shapes: dict[str, int] = {}
+        self._kinds: dict[tuple, int] = {}
+        self._pairs: dict[int, int] = {}
+        self._own, self._prev, self._next, self._both = [], [], [], []
+        for edge in ("<s>", "</s>"):
+            self._add(edge, edge, edge, ())
+
+    def _add(self, word: str, plain: str, own_shape: str, own: tuple) -> int:
+        e, at = self._emit, len(self._shape_of)
+        if (sid := self._shapes.get(own_shape)) is None:
+            sid = self._shapes[own_shape] = len(self._shapes)
+            self._prev.append(e[_bucket(f"p={own_shape}")])
+            self._next.append(e[_bucket(f"n={own_shape}")])
+        if (kid := self._kinds.get((sid, own))) is None:
+            kid = self._kinds[sid, own] = len(self._kinds)
+            self._own.append(sum((e[_bucket(f)] for f in own), e[_bucket(f"s={own_shape}")]))
+        self._shape_of.append(sid)
+        self._own_of.append(kid)
+        self._plain_of.append(_bucket(f"pw={plain}"))
+        if at > 1:
+            self._word[word] = at
+        return at
+
+    def _learn(self, word: str) -> int:
+        bare = word.rstrip(".,;:!?")
+        if bare.isascii() and bare.isalpha() and (bare.islower() or bare[1:].islower()):
+            own_shape = ("a" if bare[0].islower() else "Aa" if len(bare) > 1 else "A") + word[len(bare) :]
+        else:
+            own_shape = shape(word)
+        return self._add(word, _plain(word), own_shape, _own(word))
+
+    def lines(self, lines: list[list[str]]):
+        """(scores of all words, one line after another; the lines' numbers of words)."""
+        import numpy as np
+
+        if len(self._word) > self._most:
+            self._forget()
+        look, flat = self._word.get, []
+        for words in lines:
+            found = list(map(look, words))
+            if None in found:
+                for i, at in enumerate(found):
+                    if at is None:
+                        at = look(words[i])
+                        found[i] = self._learn(words[i]) if at is None else at
+            flat.append(0)
+            flat += found
+            flat.append(1)
+        ids, sizes = np.array(flat, np.int64), np.array([len(w) for w in lines], np.int64)
+        here = np.flatnonzero(ids > 1)
+        shape_of, names = np.array(self._shape_of), list(self._shapes)
+        sid = shape_of[ids]
+        left, code = sid[here - 1], sid[:-1] << 32 | sid[1:]
+        wanted = np.unique(np.concatenate([code[here - 1], code[here]]))
+        for c in wanted.tolist():
+            if c not in self._pairs:
+                a, b = names[c >> 32], names[c & 0xFFFFFFFF]
+                self._pairs[c] = len(self._both)
+                self._both.append((self._emit[_bucket(f"ps={a}|{b}")], self._emit[_bucket(f"sn={a}|{b}")]))
+        rows = np.array([self._pairs[c] for c in wanted.tolist()], np.int64)
+        pair = rows[np.searchsorted(wanted, code)] if len(wanted) else np.zeros(len(code), np.int64)
+        both = np.array(self._both).reshape(-1, 2, self._emit.shape[1])
+        scores = np.array(self._own)[np.array(self._own_of)[ids[here]]]
+        scores += np.array(self._prev)[left]
+        scores += np.array(self._next)[sid[here + 1]]
+        scores += self._emit[np.array(self._plain_of)[ids[here - 1]]]
+        scores += both[pair[here - 1], 0]
+        scores += both[pair[here], 1]
+        return scores, sizes
+
+
+def viterbi(scores, sizes, move):
+    """Labels of all words: ``scores`` line after line, ``sizes`` words in each; lines leave as they end."""
+    import numpy as np
+
+    out = np.zeros(len(scores), np.int8)
+    if not len(scores):
+        return out
+    order = np.argsort(-sizes, kind="stable")
+    starts = (np.cumsum(sizes) - sizes)[order]
+    sizes = sizes[order]
+    bound = int(sizes[0])
+    active = np.searchsorted(-sizes, -np.arange(bound), side="left")
+    back = np.zeros((len(scores), scores.shape[1]), np.int8)
+    best = scores[starts[: active[0]]]
+    state = np.zeros(len(sizes), np.int64)
+    for t in range(bound):
+        n = active[t]
+        at = starts[:n] + t
+        if t:
+            ways = best[:n, :, None] + move
+            back[at] = ways.argmax(1)
+            best = ways.max(1) + scores[at]
+        ended = active[t + 1] if t + 1 < bound else 0
+        state[ended:n] = best[ended:n].argmax(1)
+    for t in range(bound - 1, -1, -1):
+        n = active[t]
+        at = starts[:n] + t
+        out[at] = state[:n]
+        state[:n] = np.where(t < sizes[:n], back[at, state[:n]], state[:n])
     return out
 
 
@@ -236,21 +368,6 @@ def _accepted(kind: str, found: str) -> bool:
     return 7 <= len(d) <= 15 and not re.search(r"[^\W\d_]", found)
 
 
-def stretches(text: str) -> list[list[re.Match]]:
-    """Runs of words within REACH of a word with a digit or an @."""
-    words = list(_WORD.finditer(text))
-    near: list[int] = []
-    for i, m in enumerate(words):
-        if re.search("[0-9@]", m[0]):
-            near.extend(range(max(i - REACH, near[-1] + 1 if near else 0), min(i + REACH + 1, len(words))))
-    out: list[list[re.Match]] = []
-    for a, i in enumerate(near):
-        if not a or near[a - 1] != i - 1:
-            out.append([])
-        out[-1].append(words[i])
-    return out
-
-
 def _trimmed(text: str, start: int, end: int, kind: int) -> list[tuple[int, int]]:
     """The stretch without the marks around it, if it can be of the kind."""
     raw = text[start:end]
@@ -259,25 +376,43 @@ def _trimmed(text: str, start: int, end: int, kind: int) -> list[tuple[int, int]
     return [(start + left, start + right)] if left < right and _accepted(KINDS[kind], raw[left:right]) else []
 
 
-def find(texts: list[str], field: Field) -> list[tuple[list, list]]:
+def find(texts: list[str], field: Field, weights: Weights) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
-    base = [base_spans(t) for t in texts]
-    places = [(i, s) for i, t in enumerate(texts) for s in stretches(t)]
-    paths = field.decode([features([m[0] for m in s]) for _, s in places])
+    import numpy as np
+
+    base = [base_spans(t) if re.search("[0-9@]", t) else [] for t in texts]
+    lines, owner = [], []
+    for i, t in enumerate(texts):
+        for line in t.split("\n"):
+            if words := line.split():
+                lines.append(words)
+                owner.append(i)
     added: list[list] = [[] for _ in texts]
-    for (i, words), path in zip(places, paths):
-        k = 0
-        while k < len(path):
-            if path[k] == 0:
-                k += 1
+    scores, sizes = weights.lines(lines)
+    labels = viterbi(scores, sizes, field.move)
+    ends = np.cumsum(sizes)
+    words_before = np.zeros(len(texts), np.int64)  # of each text in the batch
+    np.add.at(words_before, np.array(owner, np.int64), sizes)
+    words_before = np.cumsum(words_before) - words_before
+    places: dict[int, list] = {}
+    marked = np.searchsorted(ends, np.flatnonzero(labels), side="right")
+    for k in np.unique(marked).tolist():  # lines with a label other than O
+        i, first = owner[k], int(ends[k] - sizes[k])
+        if i not in places:
+            places = {i: list(_WORD.finditer(texts[i]))}
+        words = places[i][first - int(words_before[i]) : int(ends[k]) - int(words_before[i])]
+        path, at = labels[first : ends[k]].tolist(), 0
+        while at < len(path):
+            if path[at] == 0:
+                at += 1
                 continue
-            kind, first = (path[k] - 1) // 2, k
-            k += 1
-            while k < len(path) and path[k] == 2 * kind + 2:
-                k += 1
+            kind, begin = (path[at] - 1) // 2, at
+            at += 1
+            while at < len(path) and path[at] == 2 * kind + 2:
+                at += 1
             # A labelled run that is no such thing as a whole may be several, a word each.
-            if not (runs := _trimmed(texts[i], words[first].start(), words[k - 1].end(), kind)):
-                runs = [x for m in words[first:k] for x in _trimmed(texts[i], m.start(), m.end(), kind)]
+            if not (runs := _trimmed(texts[i], words[begin].start(), words[at - 1].end(), kind)):
+                runs = [x for m in words[begin:at] for x in _trimmed(texts[i], m.start(), m.end(), kind)]
             added[i] += [(x, kind, y) for x, y in runs if all(y <= a or x >= b for a, _, b in base[i])]
     return [(b, sorted(b + a)) for b, a in zip(base, added)]
 
@@ -286,12 +421,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def find_personal_data(documents: DataFrame) -> DataFrame:
+def find_personal_data(documents: DataFrame, batch_bytes: int = 3_000_000) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans), a row per document.
 
     The counts are of the patterns' spans; ``spans`` has those and what the field adds.  Offsets are
     code points, ends exclusive.  A null text is empty; null doc_ids and repeated rows come back as
-    they are; an empty table gives an empty result.
+    they are; an empty table gives an empty result.  A task holds ``batch_bytes`` of text at a time, or one
+    longer text.
     """
     import pyarrow as pa
 
@@ -300,19 +436,25 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     types = [pa.int64()] * 5 + [pa.string()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
+        weights = Weights(field.value.emit)
         for batch in batches:
-            marked = pc.fill_null(pc.match_substring_regex(batch.column(1), "[0-9@]"), False)
-            rows = marked.to_numpy(zero_copy_only=False).nonzero()[0].tolist()
-            columns = [batch.column(0), *([0] * batch.num_rows for _ in KINDS), [""] * batch.num_rows, [""] * batch.num_rows]
-            for begin in range(0, len(rows), 200):
-                some = rows[begin : begin + 200]
-                for r, (base, every) in zip(some, find(batch.column(1).take(pa.array(some)).to_pylist(), field.value)):
+            start = 0
+            sizes = batch.column(1).cast(pa.binary()).to_pylist() if batch.num_rows else []
+            while start < batch.num_rows:
+                end, held = start, 0
+                while end < batch.num_rows and (end == start or held + len(sizes[end] or b"") <= batch_bytes):
+                    held += len(sizes[end] or b"")
+                    end += 1
+                found = find([t or "" for t in batch.column(1).slice(start, end - start).to_pylist()], field.value, weights)
+                columns: list[list] = [[] for _ in names[1:]]
+                for base, every in found:
+                    counts = [0] * len(KINDS)
                     for _, kind, _ in base:
-                        columns[1 + kind][r] += 1
-                    columns[5][r], columns[6][r] = joined(base), joined(every)
-            yield pa.RecordBatch.from_arrays([columns[0], *(pa.array(c, t) for c, t in zip(columns[1:], types[1:]))], names)
+                        counts[kind] += 1
+                    for column, v in zip(columns, (*counts, joined(base), joined(every))):
+                        column.append(v)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), *(pa.array(c, t) for c, t in zip(columns, types[1:]))], names)
+                start = end
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string")
