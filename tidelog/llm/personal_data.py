@@ -264,9 +264,15 @@ def viterbi(scores, sizes, move):
         n = active[t]
         at = starts[:n] + t
         if t:
-            ways = best[:n, :, None] + move
-            back[at] = ways.argmax(1)
-            best = ways.max(1) + scores[at]
+            before, came = best[:n], np.zeros((n, scores.shape[1]), np.int8)
+            best = before[:, :1] + move[0]
+            for k in range(1, len(move)):  # the first of equal ways stands
+                way = before[:, k : k + 1] + move[k]
+                better = way > best
+                np.copyto(best, way, where=better)
+                np.copyto(came, np.int8(k), where=better)
+            back[at] = came
+            best += scores[at]
         ended = active[t + 1] if t + 1 < bound else 0
         state[ended:n] = best[ended:n].argmax(1)
     for t in range(bound - 1, -1, -1):
