@@ -566,19 +566,49 @@ def test_language_model(spark, documents):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in alone)
 
 
+def token_probability(m, h, w):
+    p = m.params
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    c = m.classes[w]
+    out = soft(h @ p["o"] + p["c"])[c] * 10 ** m.log_share[w]
+    return out * soft(p["w"][m.members[c]] @ h + p["d"][m.members[c]])[m.place[w]] if w < m.n_output else out
+
+
+def total_probability(m):
+    """Of all frequent tokens and the class of the rest, from some states."""
+    rng = np.random.default_rng(1)
+    rest = 1 - sum(10 ** m.log_share[w] for w in range(len(m.words)) if m.classes[w] == m.rare_class)
+    out = []
+    for _ in range(3):
+        h = rng.normal(0, 1, m.hidden)
+        e = np.exp(h @ m.params["o"] + m.params["c"])
+        used = np.unique(m.classes[: len(m.words)])
+        unused = sum(e[c] / e.sum() for c in range(m.n_classes) if c not in used and c != m.rare_class)
+        out.append(sum(token_probability(m, h, w) for w in range(len(m.words))) + unused + e[m.rare_class] / e.sum() * rest)
+    return np.array(out)
+
+
 def test_model_is_a_distribution_and_its_gradient_is_right():
     from tidelog.llm.language_model import END, Model
 
     words = [END, *(f"w{i}".encode() for i in range(30))]
-    m = Model(words, [50, *range(40, 10, -1)], 2000, 60, n_classes=6, hidden=5)
+    m = Model(words, [50, *range(40, 10, -1)], 2000, 60, n_classes=6, hidden=5, n_output=20)
     stream = m.ids([words[i] for i in np.random.default_rng(0).integers(0, 31, 3000)])
     m.make_classes(stream)
     m.finish()
-    share = np.zeros(6)
-    np.add.at(share, m.classes[:31], 10 ** m.log_share[:31])
-    used = np.unique(m.classes[:31])
-    assert np.allclose(share[used], 1)
+    assert np.allclose(total_probability(m), 1)
     losses = m.train(stream, streams=8, window=5, epochs=3)
+    assert np.allclose(total_probability(m), 1)
+    # Step by step, with every probability worked out on its own.
+    p, h, want = m.params, np.zeros(m.hidden), 0.0
+    before = m.index[END]
+    for w in stream[:40].tolist():
+        x, g = p["x"][m.inputs(np.array([before]))[0]] + p["b"], h @ p["u"]
+        z, r = (1 / (1 + np.exp(-(x[k * 5 : k * 5 + 5] + g[k * 5 : k * 5 + 5]))) for k in (0, 1))
+        h = (1 - z) * h + z * np.tanh(x[10:] + r * g[10:])
+        want += math.log10(token_probability(m, h, w))
+        before = w
+    assert abs(m.log10_of([stream[:40]])[0] - want) < 1e-3
     assert losses[-1] <= losses[0]
     one, two = m.log10_of([stream[:40]]), m.log10_of([stream[:7], stream[:40], stream[:3]])
     assert abs(one[0] - two[1]) < 1e-4
