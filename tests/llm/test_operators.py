@@ -326,6 +326,29 @@ def test_near_dedup_edges(spark, odd):
     assert near_dedup(odd.limit(0)).count() == 0
 
 
+def test_near_dedup_of_rows_that_share_a_doc_id(spark):
+    from tidelog.llm.near_dedup import near_dedup
+
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    rows = [(5, one), (5, two), (2, one + " more"), (7, two + " more"), (9, two), (5, "alone here")]
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup(frame(spark, rows), shingle_words=2).collect())
+    assert got == Counter([(5, 2, False), (5, 5, True), (2, 2, True), (7, 5, False), (9, 5, False), (5, 5, True)])
+
+
+def test_near_dedup_of_pairs_that_share_a_template(spark):
+    """60 pairs just above the threshold among 120 documents that share most words."""
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    base, docs = [word() for _ in range(120)], {}
+    for i in range(60):
+        own = [w if k % 3 else word() for k, w in enumerate(base)]
+        near = list(own)
+        for p in rng.sample(range(120), 5):
+            near[p] = word()
+        docs |= {2 * i: " ".join(own), 2 * i + 1: " ".join(near)}
+    check_near(spark, docs, 2)
+
+
 def test_components(spark):
     from tidelog.llm.components import connected_components
 
