@@ -637,6 +637,31 @@ def test_model_is_a_distribution_and_its_gradient_is_right():
     assert abs(one[0] - two[1]) < 1e-4
 
 
+def test_weights_are_learned_from_all_tasks(spark):
+    """Texts that no first sample held: the refined model foresees their order; with nothing to learn it stays."""
+    from tidelog.llm.language_model import END, Model, refine
+
+    words = [END, *(f"w{i}".encode() for i in range(12))]
+    text = " ".join(f"w{i % 12}" for i in range(60))
+    df = frame(spark, [(i, text) for i in range(400)] + [(500, None), (501, "")]).repartition(4)
+
+    def fresh():
+        m = Model(words, [400, *[2000] * 12], 24400, 13, n_classes=6, hidden=8, n_output=13)
+        m.classes[:13] = np.arange(13) % 5
+        m.finish()
+        return m
+
+    m, untouched = fresh(), fresh()
+    ids = m.ids([*text.encode().split(), END])
+    before = m.log10_of([ids])[0]
+    refine(df.limit(0), m, 1)
+    assert all((m.params[k] == v).all() for k, v in untouched.params.items())
+    refine(df, m, 1, streams=8)
+    assert np.allclose(total_probability(m), 1)
+    assert m.log10_of([ids])[0] > before + 1
+    assert all(m.params[k].shape == v.shape and np.isfinite(m.params[k]).all() for k, v in untouched.params.items())
+
+
 def test_words_fold_only_ascii():
     from tidelog.llm.decontamination import words_of
     from tidelog.llm.language_model import words_of as model_words
