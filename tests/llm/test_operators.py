@@ -725,3 +725,15 @@ def test_near_dedup_joins_large_groups_without_their_base(spark, monkeypatch):
     sign, one = N.sign, F.array(F.lit(1).cast("long"))
     monkeypatch.setattr(N, "sign", lambda documents, size: sign(documents, size).withColumn("bands", one))  # all share a bucket
     check_near(spark, docs, 2)
+
+
+def test_lines_at_the_threshold_of_other_lengths(spark):
+    """Pairs just above 0.8 whose lengths differ by more than a fifth: no gram may be left out of their signatures."""
+    rng = random.Random(31)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    docs = {}
+    for i, n in enumerate([20, 45, 78, 85, 95, 100, 125, 170, 190, 360, 390, 700, 760, 1500] * 25):
+        own = "a" + letters(n)
+        docs |= {2 * i: own, 2 * i + 1: own + "b" + letters(int(n * 0.22) - 1)}
+    share, want = recall_of_lines(spark, docs)
+    assert len(want) >= 340 and share >= 0.995
