@@ -737,3 +737,16 @@ def test_lines_at_the_threshold_of_other_lengths(spark):
         docs |= {2 * i: own, 2 * i + 1: own + "b" + letters(int(n * 0.22) - 1)}
     share, want = recall_of_lines(spark, docs)
     assert len(want) >= 340 and share >= 0.995
+
+
+def test_all_pairs_are_compared_in_slices(spark):
+    from tidelog.llm.line_dedup import similar
+
+    rng = random.Random(33)
+    lines = ["".join(rng.choice("ab ") for _ in range(6)) for _ in range(30)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "k1 long, line string")
+    pairs = spark.createDataFrame([(a, b, a, b) for b in range(30) for a in range(b)], "a long, b long, ca long, cb long")
+    sets = [frozenset(x[k : k + 5] for k in range(2)) for x in lines]
+    want = sorted((a, b) for b in range(30) for a in range(b) if brute.similar(sets[a], sets[b]))
+    for at_once in (50, 10_000):
+        assert sorted((r["a"], r["b"]) for r in similar(pairs, texts, 80, at_once).collect()) == want
