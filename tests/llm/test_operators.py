@@ -750,3 +750,25 @@ def test_all_pairs_are_compared_in_slices(spark):
     want = sorted((a, b) for b in range(30) for a in range(b) if brute.similar(sets[a], sets[b]))
     for at_once in (50, 10_000):
         assert sorted((r["a"], r["b"]) for r in similar(pairs, texts, 80, at_once).collect()) == want
+
+
+def test_model_learns_from_all_documents(spark, documents, monkeypatch):
+    """Classes by the neighbours of the whole corpus, ends included; the unit learns from every document."""
+    from tidelog.llm import language_model as L
+
+    grouped, learned = [], []
+    group = L.Model.group
+    monkeypatch.setattr(L.Model, "group", lambda self, known, seen, vectors, *a: grouped.append((known, seen, vectors)) or group(self, known, seen, vectors, *a))
+    monkeypatch.setattr(L, "refine", lambda docs, model, one_in: learned.append((docs.count(), one_in)))
+    df = frame(spark, [*documents.items(), (5000, None)]).repartition(3)
+    model, _, _ = L.fit(df, L.count_tokens(df), sample_tokens=2_000, sample_documents=20)
+    assert learned == [(len(documents) + 1, 1)]
+    after = Counter()
+    for text in [*documents.values(), None]:
+        words = [L.END, *L.words_of(text), L.END]
+        after.update(zip(words, words[1:]))
+    known, seen, vectors = grouped[-1]
+    assert seen.tolist() == model.counts[: len(known)].tolist()
+    for a in [*range(30), len(known) - 1]:
+        for b in range(0, 150, 7):
+            assert vectors[a, b] == after[model.words[b], model.words[a]] and vectors[a, 150 + b] == after[model.words[a], model.words[b]]

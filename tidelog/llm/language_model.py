@@ -9,9 +9,9 @@ last class holds every other token, unseen ones included.  The softmax within a
 among the ``n_output`` most frequent; the class's other tokens together have their share of its smoothed
 corpus counts, and of that each its own.  So the probabilities over all tokens add up to one.
 
-The unit is trained by truncated backpropagation, first on a bounded sample, which also makes the classes,
-then by the tasks on a fixed share of all documents, so that what it learns from grows with the corpus: each
-task goes on from the same weights, and the mean of their changes is taken.  In scoring the state is carried
+The classes come from the neighbours of the frequent tokens in all documents.  The unit is trained by
+truncated backpropagation, by the tasks on all documents: each task goes on from the same weights, which a
+short training on a few documents made, and the mean of their changes is taken.  In scoring the state is carried
 through the whole document.
 """
 
@@ -109,26 +109,40 @@ class Model:
         return np.where(ids < self.n_input, ids, self.n_input + self.classes[ids])
 
     def make_classes(self, stream, n_context: int = 150, rounds: int = 8) -> None:
-        """k-means over what stands before and after a token in the sample; unseen tokens: by frequency."""
+        """Classes by the neighbours of the tokens that ``stream`` has three times at least."""
+        import numpy as np
+
+        seen = np.bincount(stream[stream < len(self.words)], minlength=len(self.words))
+        known = np.flatnonzero(seen >= 3)[: self.n_placed]
+        vectors = self.neighbours(np.zeros((self.n_placed, 2 * n_context), np.float32), stream)
+        self.group(known, seen[known], vectors[known], rounds)
+
+    @property
+    def n_placed(self) -> int:
+        """So many of the most frequent tokens are put into classes by their neighbours."""
+        return min(len(self.words), 20_000)
+
+    def neighbours(self, vectors, stream):
+        """Adds to ``vectors`` how often each of the most frequent tokens stands before and after each token placed."""
+        import numpy as np
+
+        m = vectors.shape[1] // 2
+        for a, b, shift in ((stream[1:], stream[:-1], 0), (stream[:-1], stream[1:], m)):
+            ok = (a < len(vectors)) & (b < min(m, len(self.words)))
+            np.add.at(vectors, (a[ok], b[ok] + shift), 1)
+        return vectors
+
+    def group(self, known, seen, vectors, rounds: int = 8) -> None:
+        """k-means over the neighbours of the tokens ``known``, met ``seen`` times."""
         import numpy as np
 
         n, k = len(self.words), self.n_classes - 1
         self.classes = np.full(n + 1, self.rare_class, np.int32)
         if not n:
             return
-        inside = stream[stream < n]
-        seen = np.bincount(inside, minlength=n)
-        known = np.flatnonzero(seen >= 3)[:20_000]
-        place = np.full(n + 1, -1)
-        place[known] = np.arange(len(known))
-        m = min(n_context, n)
-        vectors = np.zeros((max(len(known), 1), 2 * m), np.float32)
-        for a, b, shift in ((stream[1:], stream[:-1], 0), (stream[:-1], stream[1:], m)):
-            ok = (place[a] >= 0) & (b < m)
-            np.add.at(vectors, (place[a[ok]], b[ok] + shift), 1)
-        vectors = np.sqrt(vectors)
+        vectors = np.sqrt(vectors) if len(known) else np.zeros((1, 1), np.float32)
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
-        weight = np.sqrt(seen[known] + 1.0) if len(known) else np.ones(1)
+        weight = np.sqrt(seen + 1.0) if len(known) else np.ones(1)
         centres = vectors[np.linspace(0, len(vectors) - 1, k).astype(int)].copy()
         for _ in range(rounds):
             nearest = (vectors @ centres.T).argmax(1)
@@ -136,7 +150,7 @@ class Model:
                 if (here := nearest == j).any():
                     centres[j] = (vectors[here] * weight[here, None]).sum(0)
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-6)
-        # Tokens too rare in the sample to be placed share the class that holds most such tokens.
+        # Tokens too rare to be placed share the class that holds most such tokens.
         self.classes[:n] = np.bincount(nearest, minlength=k).argmax() if len(known) else 0
         if len(known):
             self.classes[known] = nearest
@@ -395,15 +409,53 @@ def refine(documents: DataFrame, model: Model, one_in: int, piece_tokens: int =
     shared.destroy()
 
 
+def group_tokens(documents: DataFrame, model: Model, n_context: int = 150) -> None:
+    """Puts the tokens of ``model`` into classes by their neighbours in all documents, whole texts.
+
+    A task holds a row of ``2 * n_context`` counts for each of the tokens placed; sums are made by row.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by n_frequent and n_input
+    size = model.n_placed
+
+    def told(rows: dict) -> Iterator[pa.RecordBatch]:
+        at = list(rows)
+        for start in range(0, len(at), 2_000):
+            some = at[start : start + 2_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["token", "met"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, vectors = shared.value, np.zeros((size, 2 * n_context), np.float64)
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                own.neighbours(vectors, own.ids([END, *words_of(text), END]))
+        yield from told({i: vectors[i] for i in np.flatnonzero(vectors.any(1)).tolist()})
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for token, met in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[token] = sums.get(token, 0) + np.frombuffer(met)
+        yield from told(sums)
+
+    found = documents.select("text").mapInArrow(count, "token int, met binary").repartition("token").mapInArrow(total, "token int, met binary").toArrow()
+    vectors = np.zeros((size, 2 * n_context), np.float32)
+    for token, met in zip(*(c.to_pylist() for c in found.columns)):
+        vectors[token] = np.frombuffer(met)
+    model.group(np.arange(size), model.counts[:size], vectors)
+    shared.destroy()
+
+
 def fit(
-    documents: DataFrame, counts: DataFrame, n_frequent: int = 200_000, sample_tokens: int = 240_000, sample_documents: int = 4_000, excerpt_chars: int = 20_000,
-    one_in: int = 64, **sizes,
+    documents: DataFrame, counts: DataFrame, n_frequent: int = 200_000, sample_tokens: int = 240_000, sample_documents: int = 4_000, excerpt_chars: int = 20_000, **sizes
 ) -> tuple[Model, int, int]:
-    """(model, N, V).  Counts are of all documents; the unit learns from a sample, then from ``one_in`` of all.
+    """(model, N, V).  Counts, classes and the unit's weights are learned from all documents, whole texts.
 
-    The sample: about ``sample_tokens`` tokens, of at most ``sample_documents`` documents chosen by a hash of
-    their doc_id; of a longer document an excerpt of ``excerpt_chars`` from a place that the hash chooses.
-    After that one document in ``one_in``, of any number, is learned from whole (see ``refine``).
+    Where the weights start from is learned from about ``sample_tokens`` tokens, of at most
+    ``sample_documents`` documents chosen by a hash of their doc_id; of a longer document an excerpt of
+    ``excerpt_chars`` from a place that the hash chooses.  From there the tasks learn from all (see ``refine``).
     """
     import numpy as np
 
@@ -425,10 +477,10 @@ def fit(
             ids.append(model.ids([END, *words_of(text)]))
             held += len(ids[-1])
     stream = np.concatenate([*ids, model.ids([END])])
-    model.make_classes(stream)
+    group_tokens(documents, model)
     model.finish()
     model.train(stream)
-    refine(documents, model, one_in)
+    refine(documents, model, 1)
     return model, total, distinct
 
 
