@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -772,3 +773,27 @@ def test_model_learns_from_all_documents(spark, documents, monkeypatch):
     for a in [*range(30), len(known) - 1]:
         for b in range(0, 150, 7):
             assert vectors[a, b] == after[model.words[b], model.words[a]] and vectors[a, 150 + b] == after[model.words[a], model.words[b]]
+
+
+def test_worker_keeps_the_tables_of_one_operator():
+    from tidelog.llm import shared
+
+    first, again = (shared.remembered(("encoder", "x"), object) for _ in range(2))
+    assert first is again
+    shared.remembered(("shingler", 2), object)
+    assert len(shared._remembered) == 1 and shared.remembered(("encoder", "x"), object) is not first
+    shared._remembered.clear()
+
+
+def test_plain_words_go_to_the_model_directly():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from tidelog.llm.encoding import Encoder
+
+    e, text = Encoder(P.path("byte_bpe_50k.json")), "one plainer qwertzu Übermaß words, word\nnext plainer"
+    want = array("I", Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids).tobytes()
+    asked, encode = [], e._encode
+    e._encode = lambda piece: asked.append(piece) or encode(piece)
+    assert e.encode_batch([text]) == [want]
+    assert "plainer" not in asked and "qwertzu" not in asked

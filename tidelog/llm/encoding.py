@@ -12,7 +12,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
+
+from .shared import remembered
 
 #: Bytes of texts that need no closer look: printable ASCII, line feed, and UTF-8 of U+00C0 to U+024F.
 _PLAIN = bytes([10, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
@@ -98,7 +99,13 @@ class Encoder:
     def _learn(self, chunk: str) -> bytes:
         """Ids of a chunk that is not in the newer generation, where it is put."""
         now, old, most = self._now, self._old, self._piece_chars
-        if (ids := old.get(chunk)) is None:
+        if (ids := old.get(chunk)) is None and chunk.isalpha():  # nothing before it and no marks after it: most chunks
+            if chunk.isascii() and (self._blank or chunk.islower()):
+                found = self._model.tokenize("\u0120" + chunk if self._blank else chunk)
+                ids = b"".join([t.id.to_bytes(4, "little") for t in found])
+            else:
+                ids = self._encode(chunk)
+        elif ids is None:
             blank = self._blank
             nul = "\x00" if blank else ""
             fed = blank and chunk[0] == "\n"
@@ -147,7 +154,6 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
 def encoder_for(vocabulary: str) -> Encoder:
     """The worker process's own encoder: what one task learned serves the next."""
-    return Encoder(vocabulary)
+    return remembered(("encoder", vocabulary), lambda: Encoder(vocabulary))
