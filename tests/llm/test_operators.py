@@ -775,6 +775,15 @@ def test_model_learns_from_all_documents(spark, documents, monkeypatch):
             assert vectors[a, b] == after[model.words[b], model.words[a]] and vectors[a, 150 + b] == after[model.words[a], model.words[b]]
 
 
+def test_lines_of_many_shared_buckets_are_paired_once(spark):
+    from tidelog.llm import line_dedup as D
+
+    rows = [(64 * key + 32 * way + key, c, c, 0, 0, 0, 0) for c in range(3) for way in (0, 1) for key in range(12)]
+    members = spark.createDataFrame(rows, "key long, k1 long, component long, s1 long, s2 long, s3 long, s4 long")
+    got = Counter((r["a"], r["b"]) for r in D.unjoined_pairs(members).collect())
+    assert got == Counter({(0, 1): 2, (0, 2): 2, (1, 2): 2})  # once in each way of signing
+
+
 def test_worker_keeps_the_tables_of_one_operator():
     from tidelog.llm import shared
 
