@@ -775,6 +775,26 @@ def test_model_learns_from_all_documents(spark, documents, monkeypatch):
             assert vectors[a, b] == after[model.words[b], model.words[a]] and vectors[a, 150 + b] == after[model.words[a], model.words[b]]
 
 
+def test_pairs_of_many_shared_buckets_are_made_once(spark):
+    """Near-duplicate search: a pair once however many buckets it shares, and not if it cannot be similar."""
+    import numpy as np
+
+    from tidelog.llm import near_dedup as N
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:same], rng.integers(0, 1 << 63, 300 - same).astype(np.uint64)])) for same in (300, 272, 252, 150)]
+    turn = N.circulant()
+    sketches = [turn.sketch(turn.signature(s)).tolist() for s in sets]
+    packed = spark.createDataFrame([(c, s.tobytes()) for c, s in enumerate(sets)], "c long, shingles binary")
+    rows = [(key, c, 300, c, *sketches[c]) for c in range(4) for key in range(10)]
+    members = spark.createDataFrame(rows, "key long, c long, n int, component long, s0 long, s1 long, s2 long, s3 long")
+    got = N.unjoined_pairs(members, N.long_sketches(packed), 80).collect()
+    # Jaccard 0.83 of the first two; 0.72 of the first and the third, which the short sketches let pass.
+    assert sorted(map(tuple, got)) == [(0, 1)]
+    assert members.where("c in (0, 2)").crossJoin(members.selectExpr("c as d", *(f"s{k} as bs{k}" for k in range(4))).where("c = 2")).where(N.near("", "b")).where("c = 0 and d = 2").count()
+
+
 def test_lines_of_many_shared_buckets_are_paired_once(spark):
     from tidelog.llm import line_dedup as D
 

@@ -14,7 +14,9 @@ on the full sets, if its sketches differ in at most APART coordinates and its si
 2. In buckets that links have not joined whole, every member is compared with another one, of a component
    other than its own, and so on with others while that joins a twentieth of the components left.
 3. Then all pairs of a bucket that are still not joined are compared: in buckets of at most SMALL members
-   by their sketches, in larger ones unless prefix filtering on the full sets excludes them.
+   by their sketches, in larger ones unless prefix filtering on the full sets excludes them.  Members of
+   these buckets get a longer sketch, of a bit of FINE coordinates; a pair is made in the first only of the
+   buckets that it shares, and verified if its long sketches allow the similarity, by four standard deviations.
 
 So a large group of copies is joined early, and no pair of a bucket is left out.
 """
@@ -29,18 +31,19 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, prefix_pairs
 from .line_dedup import row_key
-from .shared import discard, written
+from .shared import discard, remembered, written
 
 RING, COORDINATES, BAND = 1 << 20, 160, 5
 SMALL = 4096
 SKETCHED, APART = 128, 35
+FINE = 4096
 _SKETCH = ("s0", "s1", "s2", "s3")
 
 
 class Shingler:
     """Words to 64-bit shingle hashes; remembers the hashes of a bounded number of words."""
 
-    def __init__(self, size: int, remember: int = 400_000):
+    def __init__(self, size: int, remember: int = 100_000):
         self.size, self.remember, self._of = size, remember, {}
 
     def __call__(self, text: bytes | None):
@@ -68,15 +71,14 @@ class Shingler:
         return np.unique(out)
 
 
-@lru_cache(maxsize=2)
 def shingler_for(size: int) -> Shingler:
     """The worker process's own: words that one task hashed serve the next."""
-    return Shingler(size)
+    return remembered(("shingler", size), lambda: Shingler(size))
 
 
-@lru_cache(maxsize=1)
-def circulant() -> Circulant:
-    return Circulant()
+@lru_cache(maxsize=2)
+def circulant(coordinates: int = COORDINATES) -> Circulant:
+    return Circulant(coordinates)
 
 
 def mixed(x):
@@ -93,16 +95,18 @@ def mixed(x):
 class Circulant:
     """Signatures of shingle sets."""
 
-    def __init__(self, seed: int = 11):
+    def __init__(self, coordinates: int = COORDINATES, seed: int = 11):
         import numpy as np
 
         ring = np.random.default_rng(seed).permutation(RING).astype(np.uint32)
         # Row p has the values at p, p + 1, ...: one stretch for all turns of the ring.
-        self._turns = np.lib.stride_tricks.sliding_window_view(np.concatenate([ring, ring[:COORDINATES]]), COORDINATES)
+        self._turns = np.lib.stride_tricks.sliding_window_view(np.concatenate([ring, ring[:coordinates]]), coordinates)
+        self._block = max(64, (2048 * COORDINATES) // coordinates)
 
-    def signature(self, shingles, block: int = 2048):
+    def signature(self, shingles):
         import numpy as np
 
+        block = self._block
         place = (shingles & np.uint64(RING - 1)).astype(np.int64)
         out = self._turns[place[:block]].min(0)
         for start in range(block, len(place), block):
@@ -116,6 +120,12 @@ class Circulant:
         two = (signature[:SKETCHED] & 3).astype(np.uint64).reshape(len(_SKETCH), -1)
         return (two << np.arange(0, 64, 2, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
 
+    def long_sketch(self, signature):
+        """A bit of each coordinate, in 64-bit integers."""
+        import numpy as np
+
+        return np.packbits((signature & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
     def bands(self, signature):
         """A 64-bit key per band, its number mixed in."""
         import numpy as np
@@ -247,6 +257,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.mapInArrow(run, "a long, b long")
 
 
+def long_sketches(sets: DataFrame) -> DataFrame:
+    """(c, fine): the long sketches of the sets (c, shingles), in FINE / 64 integers each."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        turn = circulant(FINE)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                some = batch.slice(start, 500)
+                found = [turn.long_sketch(turn.signature(np.frombuffer(x.as_buffer(), np.uint64))) for x in some.column("shingles")]
+                offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * (FINE // 64))
+                yield pa.RecordBatch.from_arrays([some.column("c"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))], ["c", "fine"])
+
+    return sets.select("c", "shingles").mapInArrow(run, "c long, fine array<long>")
+
+
+def finely_near(a: str, b: str, percent: int):
+    """Whether the long sketches in two columns differ in no more bits than four deviations above the mean at ``percent``."""
+    p = (100 - percent) / 200
+    most = int(FINE * p + 4 * (FINE * p * (1 - p)) ** 0.5)
+    # In higher-order functions: as one expression it would be too long a method to be compiled.
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y) <= most
+
+
 def near(a: str, b: str):
     """Whether two sketches, the columns with these prefixes, differ in at most APART coordinates."""
     apart = F.lit(0)
@@ -256,6 +292,20 @@ def near(a: str, b: str):
     return apart <= APART
 
 
+def unjoined_pairs(members: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: the pairs of different components in a bucket whose sizes and sketches allow the similarity.
+
+    ``members``: (key, c, n, component, sketch); ``fine``: (c, fine).  Each pair is made once, in the first bucket it shares.
+    """
+    own = members.groupBy("c").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # a class has a key per band at most
+    x = written(members.join(own.join(fine, "c"), "c"), "few")
+    y = x.select(*(F.col(c).alias(f"b{c}") for c in x.columns))
+    alike = F.lit(100) * F.least("n", "bn") >= F.lit(percent) * F.greatest("n", "bn")
+    first = F.get(F.array_intersect("keys", "bkeys"), F.lit(0)) == F.col("key")
+    pairs = x.join(y, (F.col("key") == F.col("bkey")) & (F.col("c") < F.col("bc")) & (F.col("component") != F.col("bcomponent")) & alike & near("", "b") & first & finely_near("fine", "bfine", percent))
+    return pairs.select(F.col("c").alias("a"), F.col("bc").alias("b"))
+
+
 def near_dedup(documents: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, kept), a row per row of ``documents``.
 
@@ -281,11 +331,14 @@ def near_dedup(documents: DataFrame, shingle_words: int = 5, percent: int = 80)
     close = (F.lit(100) * F.least("n", "bn") >= F.lit(percent) * F.greatest("n", "bn")) & near("", "b")
     other = lambda df, *more: df.select(*more, F.col("n").alias("bn"), *(F.col(x).alias(f"b{x}") for x in _SKETCH))
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def fetched(needed: DataFrame) -> DataFrame:
+        """(c, shingles) of the classes ``needed`` (c)."""
+        return written(needed_sets(documents, classes, written(needed.distinct(), "needed"), shingle_words), "sets")
+
+    def links(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Verified links of pairs (a, b)."""
-        ends = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-        sets = needed_sets(documents, classes, written(ends, "needed"), shingle_words)
-        return written(verified(pairs, written(sets, "sets"), percent), "links")
+        sets = sets or fetched(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))))
+        return written(verified(pairs, sets, percent), "links")
 
     stars = members.where("c != first").dropDuplicates(["c", "first"]).join(other(sizes, F.col("c").alias("first")), "first").where(close)
     tried = written(stars.select(F.col("first").alias("a"), F.col("c").alias("b")), "tried")
@@ -298,11 +351,11 @@ def near_dedup(documents: DataFrame, shingle_words: int = 5, percent: int = 80)
         open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
         return written(placed.join(open_keys, "key"), "open")
 
-    def compare(pairs: DataFrame) -> int:
+    def compare(pairs: DataFrame, sets: DataFrame | None = None) -> int:
         """Verifies the pairs (a, b) that have not been; returns the number of new links."""
         nonlocal tried, edges
         pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "tries")
-        fresh = links(pairs)
+        fresh = links(pairs, sets)
         tried, edges = tried.unionByName(pairs), edges.unionByName(fresh)
         return fresh.count()
 
@@ -318,15 +371,13 @@ def near_dedup(documents: DataFrame, shingle_words: int = 5, percent: int = 80)
             break
         turn += 1
     placed = still_open()
-    few = placed.where(F.col("size") <= SMALL)
-    y = other(few, F.col("key").alias("bkey"), F.col("c").alias("bc"), F.col("component").alias("bcomponent"))
-    pairs = few.join(y, (F.col("key") == F.col("bkey")) & (F.col("c") < F.col("bc")) & (F.col("component") != F.col("bcomponent")) & close)
-    pairs = pairs.select(F.col("c").alias("a"), F.col("bc").alias("b"))
+    sets = fetched(placed.select("c"))
+    few = placed.where(F.col("size") <= SMALL).select("key", "c", "n", "component", *_SKETCH)
+    pairs = unjoined_pairs(few, written(long_sketches(sets), "long-sketches"), percent)
     rest = written(placed.where(F.col("size") > SMALL).select("c", "component").distinct(), "rest")
     if not rest.isEmpty():
-        sets = needed_sets(documents, classes, rest.select("c"), shingle_words)
         pairs = pairs.unionByName(prefix_pairs(written(elements(sets.join(rest, "c")), "elements"), percent))
-    compare(pairs)
+    compare(pairs, sets)
     joined = written(connected_components(edges), "components").withColumnRenamed("node", "c")
     # Only classes that say something new about a document come back to the documents.
     linked = written(classes.select("k1", "k2", "c", "d", "copies").join(joined, "c", "left"), "linked")
