@@ -16,7 +16,7 @@ on the full sets, if its sketches differ in at most APART coordinates and its si
 3. Then all pairs of a bucket that are still not joined are compared: in buckets of at most SMALL members
    by their sketches, in larger ones unless prefix filtering on the full sets excludes them.  Members of
    these buckets get a longer sketch, of a bit of FINE coordinates; a pair is made in the first only of the
-   buckets that it shares, and verified if its long sketches allow the similarity, by four standard deviations.
+   buckets that it shares, and verified if its long sketches allow the similarity, by five standard deviations.
 
 So a large group of copies is joined early, and no pair of a bucket is left out.
 """
@@ -276,9 +276,9 @@ def long_sketches(sets: DataFrame) -> DataFrame:
 
 
 def finely_near(a: str, b: str, percent: int):
-    """Whether the long sketches in two columns differ in no more bits than four deviations above the mean at ``percent``."""
+    """Whether the long sketches in two columns differ in no more bits than five deviations above the mean at ``percent``."""
     p = (100 - percent) / 200
-    most = int(FINE * p + 4 * (FINE * p * (1 - p)) ** 0.5)
+    most = int(FINE * p + 5 * (FINE * p * (1 - p)) ** 0.5)
     # In higher-order functions: as one expression it would be too long a method to be compiled.
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y) <= most
 
