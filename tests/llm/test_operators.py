@@ -12,6 +12,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from . import brute
 
 P = pytest.importorskip("public_tokenizers")
@@ -826,3 +828,62 @@ def test_plain_words_go_to_the_model_directly():
     e._encode = lambda piece: asked.append(piece) or encode(piece)
     assert e.encode_batch([text]) == [want]
     assert "plainer" not in asked and "qwertzu" not in asked
+
+
+def test_parities_allow_every_similar_pair(spark):
+    """And exclude pairs well below the threshold; lines of few, many, repeated and astral characters."""
+    from tidelog.llm import line_dedup as D
+
+    rng = random.Random(41)
+    lines = []
+    for n in (3, 20, 60, 200, 400, 900, 3000):
+        own = [rng.choice("abcdefghij \U0001f600") for _ in range(n)]
+        for changes in (0, 1, n // 90, n // 60, n // 45, n // 30, n // 8):
+            for p in rng.sample(range(n), min(n, changes)):
+                own[p] = rng.choice("klmnop")
+            lines.append("".join(own))
+    lines += ["-" * 40, "-" * 500, "=-" * 90]
+    marks = D.parities(spark.createDataFrame(list(enumerate(lines)), "k1 long, line string")).cache()
+    x, y = (marks.select(*(F.col(c).alias(f"{c}{end}") for c in marks.columns)) for end in ("a", "b"))
+    got = {(r["k1a"], r["k1b"]) for r in x.crossJoin(y).where(D.can_be_similar("a", "b", 80)).select("k1a", "k1b").collect()}
+    sets = [frozenset(t[k : k + 5] for k in range(max(1, len(t) - 4))) for t in lines]
+    pairs = [(a, b) for b in range(len(lines)) for a in range(b)]
+    similar = {(a, b) for a, b in pairs if brute.similar(sets[a], sets[b])}
+    assert len(similar) >= 20 and similar <= got
+    low = {(a, b) for a, b in pairs if max(len(sets[a]), len(sets[b])) < 500 and 10 * len(sets[a] & sets[b]) < 6 * len(sets[a] | sets[b])}
+    assert low and len(low & got) <= len(low) // 100
+
+
+def test_near_misses_of_a_group_are_not_all_compared(spark, monkeypatch):
+    """Sixty variants of one line, none similar to another: their sketches are close, their parities are not."""
+    from tidelog.llm import line_dedup as D
+
+    rng = random.Random(42)
+    base, docs, compared = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)], {}, []
+    for i in range(60):
+        own = list(base)
+        for p in rng.sample(range(300), 7):
+            own[p] = rng.choice("0123456789")
+        docs[i] = "".join(own)
+    docs |= {100: docs[7] + "!", 101: docs[8][1:]}
+    similar = D.similar
+    monkeypatch.setattr(D, "similar", lambda pairs, *a: compared.append(pairs.count()) or similar(pairs, *a))
+    share, want = recall_of_lines(spark, docs)
+    assert len(want) >= 2 and share == 1
+    assert sum(compared) <= 400, compared  # of 1,891
+
+
+def test_buckets_of_two_are_done_after_the_first_round(spark, monkeypatch):
+    from tidelog.llm import line_dedup as D
+
+    rng, docs, kept = random.Random(43), {}, []
+    for i in range(40):
+        own = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)]
+        docs[2 * i] = "".join(own)
+        for p in rng.sample(range(300), 16):
+            own[p] = rng.choice("0123456789")
+        docs[2 * i + 1] = "".join(own)
+    written = D.written
+    monkeypatch.setattr(D, "written", lambda df, label: [out := written(df, label), kept.append(out.count()) if label in ("line-placed", "line-few") else None][0])
+    assert not recall_of_lines(spark, docs)[1]
+    assert kept and not any(kept), kept
