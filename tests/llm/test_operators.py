@@ -887,3 +887,41 @@ def test_buckets_of_two_are_done_after_the_first_round(spark, monkeypatch):
     monkeypatch.setattr(D, "written", lambda df, label: [out := written(df, label), kept.append(out.count()) if label in ("line-placed", "line-few") else None][0])
     assert not recall_of_lines(spark, docs)[1]
     assert kept and not any(kept), kept
+
+
+def test_training_goes_by_windows_and_follows_the_gradient(monkeypatch):
+    """Weights of single precision train in it, a window at once; the first step is against the numeric gradient."""
+    from tidelog.llm.language_model import END, Model
+
+    words, seen = [END, *(f"w{i}".encode() for i in range(30))], []
+    m = Model(words, [50, *range(40, 10, -1)], 2000, 60, n_classes=6, hidden=5, n_output=20)
+    ids = np.random.default_rng(0).integers(0, 31, 9 * 4).astype(np.int32)
+    m.make_classes(ids)
+    m.finish()
+    m.params = {k: v + np.random.default_rng(1).normal(0, 0.3, v.shape) for k, v in m.params.items()}
+    first = {k: v.copy() for k, v in m.params.items()}
+
+    def loss():
+        kept, m.params = m.params, {k: v.copy() for k, v in m.params.items()}
+        found = m.train(ids, streams=4, window=8, epochs=1, rate=0.0)[0]
+        m.params = kept
+        return found
+
+    numeric = {}
+    for k, v in first.items():
+        for i in list(np.ndindex(v.shape))[:: max(1, v.size // 40)]:
+            ends = []
+            for step in (1e-5, -1e-5):
+                m.params[k][i] = v[i] + step
+                ends.append(loss())
+            m.params[k][i] = v[i]
+            numeric[k, i] = (ends[0] - ends[1]) / 2e-5
+    m.train(ids, streams=4, window=8, epochs=1, rate=0.01)
+    clear = {key: g for key, g in numeric.items() if abs(g) > 1e-4}
+    assert len(clear) >= 60 and {k for k, _ in clear} == set(first)
+    assert all(abs(m.params[k][i] - first[k][i] + 0.01 * np.sign(g)) < 1e-4 for (k, i), g in clear.items())
+    within = Model.within
+    monkeypatch.setattr(Model, "within", lambda self, states, *a: seen.append((states.dtype, len(states))) or within(self, states, *a))
+    m.params = {k: v.astype(np.float32) for k, v in first.items()}
+    m.train(ids, streams=4, window=8, epochs=1)
+    assert seen == [(np.dtype(np.float32), int((ids.reshape(4, 9)[:, 1:] < 20).sum()))] and all(v.dtype == np.float32 for v in m.params.values())

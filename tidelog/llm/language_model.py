@@ -187,26 +187,28 @@ class Model:
         import numpy as np
 
         out, back = np.empty(len(words), states.dtype), np.zeros_like(states) if grad is not None else None
-        own = self.classes[words]
-        order = np.argsort(own, kind="stable")
-        cuts = np.searchsorted(own[order], np.arange(self.n_classes + 1))
+        of = self.classes[words]
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(self.n_classes + 1))
         for c in range(self.n_classes):
             rows = order[cuts[c] : cuts[c + 1]]
             if not len(rows):
                 continue
             m, at = self.members[c], np.arange(len(rows))
             weights, goal, h = params["w"][m], self.place[words[rows]], states[rows]
-            logits = h @ weights.T + params["d"][m]
-            logits -= logits.max(1, keepdims=True)
-            prob = np.exp(logits)
-            total = prob.sum(1, keepdims=True)
-            out[rows] = logits[at, goal] - np.log(total[:, 0])
+            prob = h @ weights.T
+            prob += params["d"][m]
+            prob -= prob.max(1, keepdims=True)
+            own = prob[at, goal]
+            np.exp(prob, out=prob)
+            total = prob.sum(1)
+            out[rows] = own - np.log(total)
             if grad is not None:
-                prob /= total
-                prob[at, goal] -= 1
-                grad["w"][m] += prob.T @ h
-                grad["d"][m] += prob.sum(0)
-                back[rows] = prob @ weights
+                prob[at, goal] -= total
+                total = 1 / total  # taken out of the sums, which are much smaller than prob
+                grad["w"][m] += prob.T @ (h * total[:, None])
+                grad["d"][m] += total @ prob
+                back[rows] = (prob @ weights) * total[:, None]
         return out, back
 
     def train(self, stream, streams: int = 48, window: int = 16, epochs: int = 3, rate: float = 0.01) -> list[float]:
@@ -225,61 +227,71 @@ class Model:
         rows, goal = self.inputs(grid), self.classes[grid]
         end = self.index.get(END, len(self.words))
         moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
-        t_all, losses = 0, []
+        kind, t_all, losses = p["u"].dtype, 0, []
         for _ in range(epochs):
-            h, loss, n = np.zeros((streams, h_n)), 0.0, 0
+            h, loss, n = np.zeros((streams, h_n), kind), 0.0, 0
             for at in range(0, length - 1, window):
-                steps = []
                 width = min(window, length - 1 - at)
-                grad = {k: np.zeros_like(v) for k, v in p.items()}
-                for t in range(at, at + width):
-                    h = np.where((grid[:, t] == end)[:, None], 0, h)
-                    x, g = p["x"][rows[:, t]] + p["b"], h @ p["u"]
-                    z = 1 / (1 + np.exp(-(x[:, :h_n] + g[:, :h_n])))
-                    r = 1 / (1 + np.exp(-(x[:, h_n : 2 * h_n] + g[:, h_n : 2 * h_n])))
-                    c = np.tanh(x[:, 2 * h_n :] + r * g[:, 2 * h_n :])
-                    new = (1 - z) * h + z * c
-                    logits = new @ p["o"] + p["c"]
-                    logits -= logits.max(1, keepdims=True)
-                    prob = np.exp(logits)
-                    prob /= prob.sum(1, keepdims=True)
-                    loss -= np.log(prob[np.arange(streams), goal[:, t + 1]] + 1e-12).sum()
-                    n += streams
-                    prob[np.arange(streams), goal[:, t + 1]] -= 1
-                    steps.append((t, h, z, r, c, g, new, prob / streams))
-                    h = new
-                # The words of the window within their classes, all at once.
+                count = width * streams
+                # Only the state goes step by step; all else is done for the window at once, in rows by step and stream.
+                touched, place = np.unique(rows[:, at : at + width].T, return_inverse=True)
+                place = place.reshape(-1)
+                x = (p["x"][touched] + p["b"])[place].reshape(width, streams, 3 * h_n)
+                alive = (grid[:, at : at + width] != end).T[..., None].astype(kind)
+                before, new, c = (np.empty((width, streams, h_n), kind) for _ in range(3))
+                gate, g = np.empty((width, streams, 2 * h_n), kind), np.empty((width, streams, 3 * h_n), kind)
+                for t in range(width):
+                    h = before[t] = h * alive[t]
+                    own = g[t] = h @ p["u"]
+                    gate[t] = 1 / (1 + np.exp(-(x[t, :, : 2 * h_n] + own[:, : 2 * h_n])))
+                    c[t] = np.tanh(x[t, :, 2 * h_n :] + gate[t, :, h_n:] * own[:, 2 * h_n :])
+                    h = new[t] = h + gate[t, :, :h_n] * (c[t] - h)
+                states, aims, every = new.reshape(count, h_n), goal[:, at + 1 : at + width + 1].T.reshape(-1), np.arange(count)
+                prob = states @ p["o"] + p["c"]
+                prob -= prob.max(1, keepdims=True)
+                np.exp(prob, out=prob)
+                prob /= prob.sum(1, keepdims=True)
+                loss -= np.log(prob[every, aims] + 1e-12).sum()
+                n += count
+                prob[every, aims] -= 1
+                prob /= streams
+                grad = {"w": np.zeros_like(p["w"]), "d": np.zeros_like(p["d"]), "o": states.T @ prob, "c": prob.sum(0)}
+                to_state = prob @ p["o"].T
                 words = grid[:, at + 1 : at + width + 1].T.reshape(-1)
                 known = np.flatnonzero(words < self.n_output)
-                to_state = np.zeros((width * streams, h_n))
                 if len(known):
-                    found, own = self.within(np.concatenate([x[6] for x in steps])[known], words[known], p, grad)
+                    found, own = self.within(states[known], words[known], p, grad)
                     loss -= found.sum()
-                    to_state[known] = own / streams
+                    to_state[known] += own / streams
                     grad["w"] /= streams
                     grad["d"] /= streams
-                back = np.zeros((streams, h_n))
-                for t, before, z, r, c, g, new, d in reversed(steps):
-                    grad["o"] += new.T @ d
-                    grad["c"] += d.sum(0)
-                    dh = d @ p["o"].T + back + to_state[(t - at) * streams : (t - at + 1) * streams]
-                    dc = dh * z * (1 - c * c)
-                    dz = dh * (c - before) * z * (1 - z)
-                    dr = dc * g[:, 2 * h_n :] * r * (1 - r)
-                    dx = np.concatenate([dz, dr, dc], 1)
-                    dg = np.concatenate([dz, dr, dc * r], 1)
-                    np.add.at(grad["x"], rows[:, t], dx)
-                    grad["b"] += dx.sum(0)
-                    grad["u"] += before.T @ dg
-                    back = (dh * (1 - z) + dg @ p["u"].T) * (grid[:, t] != end)[:, None]
+                to_state = to_state.reshape(width, streams, h_n)
+                z, r = gate[..., :h_n], gate[..., h_n:]
+                by_c, by_z, by_r, stay = z * (1 - c * c), (c - before) * z * (1 - z), g[..., 2 * h_n :] * r * (1 - r), 1 - z
+                dx, dg, back = np.empty_like(g), np.empty_like(g), np.zeros((streams, h_n), kind)
+                turned = np.ascontiguousarray(p["u"].T)
+                for t in range(width - 1, -1, -1):
+                    dh = to_state[t] + back
+                    dc = dx[t, :, 2 * h_n :] = dh * by_c[t]
+                    dg[t, :, :h_n] = dh * by_z[t]
+                    dg[t, :, h_n : 2 * h_n] = dc * by_r[t]
+                    dg[t, :, 2 * h_n :] = dc * r[t]
+                    back = (dh * stay[t] + dg[t] @ turned) * alive[t]
+                dx[..., : 2 * h_n] = dg[..., : 2 * h_n]
+                dx = dx.reshape(count, 3 * h_n)
+                grad["b"], grad["u"] = dx.sum(0), before.reshape(count, h_n).T @ dg.reshape(count, 3 * h_n)
+                order = np.argsort(place, kind="stable")
+                grad["x"] = np.add.reduceat(dx[order], np.searchsorted(place[order], np.arange(len(touched))))
                 t_all += 1
-                for k, g in grad.items():
+                for k, change in grad.items():
                     m, v = moment[k]
-                    touched = np.unique(rows[:, at : at + width]) if k == "x" else slice(None)
-                    g = np.clip(g[touched], -1, 1)
-                    m[touched] += 0.1 * (g - m[touched])
-                    v[touched] += 0.001 * (g * g - v[touched])
-                    p[k][touched] -= rate * (m[touched] / (1 - 0.9**t_all)) / (np.sqrt(v[touched] / (1 - 0.999**t_all)) + 1e-8)
+                    some = touched if k == "x" else slice(None)
+                    change = np.clip(change, -1, 1)
+                    first, second = m[some], v[some]
+                    first = first + 0.1 * (change - first)
+                    second = second + 0.001 * (change * change - second)
+                    m[some], v[some] = first, second
+                    p[k][some] -= rate * (first / (1 - 0.9**t_all)) / (np.sqrt(second / (1 - 0.999**t_all)) + 1e-8)
             losses.append(loss / max(n, 1))
         return losses
 
