@@ -925,3 +925,29 @@ def test_training_goes_by_windows_and_follows_the_gradient(monkeypatch):
     m.params = {k: v.astype(np.float32) for k, v in first.items()}
     m.train(ids, streams=4, window=8, epochs=1)
     assert seen == [(np.dtype(np.float32), int((ids.reshape(4, 9)[:, 1:] < 20).sum()))] and all(v.dtype == np.float32 for v in m.params.values())
+
+
+def test_lines_without_close_partners_leave_early(spark, monkeypatch):
+    """Lines that share a third of their grams meet in many buckets; next to none of them need full parities or a later round."""
+    from tidelog.llm import line_dedup as D
+
+    rng, marked = random.Random(51), []
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    base = letters(100)
+    docs = {i: base + letters(100) for i in range(250)}
+    docs |= {1000: docs[3] + "x", 1001: docs[4][1:]}
+    parities = D.parities
+    monkeypatch.setattr(D, "parities", lambda texts: marked.append(texts.count()) or parities(texts))
+    share, want = recall_of_lines(spark, docs)
+    assert len(want) == 2 and share == 1
+    assert sum(marked) <= 25, marked
+
+
+def test_partners_are_close_and_of_another_component(spark):
+    from tidelog.llm import line_dedup as D
+
+    far = (1 << 60) - 1  # differs from 0 in all coordinates of a word
+    rows = [(1, 10, 10, 3, 0), (1, 11, 10, 3, 0), (1, 12, 12, 3, far), (2, 10, 10, 2, 0), (2, 13, 13, 2, 1), (3, 12, 12, 2, far), (3, 13, 13, 2, 1)]
+    rows += [(4, 14, 14, D.SMALL + 1, 0), (4, 15, 15, D.SMALL + 1, far), (5, 16, 16, D.SMALL + 1, 0), (5, 17, 16, D.SMALL + 1, 0)]
+    members = spark.createDataFrame([(*r, *r[4:] * 3) for r in rows], "key long, k1 long, component long, size long, s1 long, s2 long, s3 long, s4 long")
+    assert sorted((r["key"], r["k1"]) for r in D.with_partners(members).collect()) == [(2, 10), (2, 13), (4, 14), (4, 15)]

@@ -97,6 +97,39 @@ def test_stages_take_nothing(spark, sf):
     assert docs.count() == 0
 
 
+def test_stages_remove_their_tables(spark, sf):
+    """What a stage has written goes when its result no longer needs it: rows to leave out stay, texts and postings do not."""
+    import corpus_pipeline
+    from tidelog.llm.shared import new_folder, written
+
+    shared = os.path.dirname(new_folder(spark, "x")).removeprefix("file://")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = set(os.listdir(shared))
+        docs = written(stage(spark, docs, sf), "result")
+        left = {x.rpartition("-")[0] for x in set(os.listdir(shared)) - before}
+        assert left <= {"result", "gone", "near-copies", "contaminated", "test-windows", "windows"}, left
+        assert ("gone", "near-copies", "contaminated")[k - 1] in left or not k
+    assert docs.count()
+
+
+def test_tables_written_in_a_scope_are_removed(spark):
+    from tidelog.llm.shared import scratch, written
+
+    one = lambda n: written(spark.range(n), "scoped")
+    there = lambda df: os.path.exists(df.written_to.removeprefix("file://"))
+    with scratch() as keep:
+        with scratch() as keep_inner:
+            a, b = keep_inner(one(3)), one(4)
+        assert there(a) and not there(b)
+        c = keep(one(5))
+    assert not there(a) and there(c) and c.count() == 5
+    with pytest.raises(ValueError), scratch():
+        d = one(2)
+        raise ValueError
+    assert not there(d) and there(one(1))
+
+
 def test_queries_agree_with_their_sql(spark, sf):
     import duckdb
 
